@@ -25,12 +25,13 @@ from .common import as_schema, labelled_sample, remainder, slim
 @dataclass(frozen=True)
 class FtrlParams:
     bits: int = 20
-    alpha: float = 0.3
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 1.5
+    l1: float = 8.0
     l2: float = 1.0
-    epochs: int = 4
+    epochs: int = 12
     per_class: int = 4000  # bound of the fitting sample, for each class
+    natural: bool = False  # move the intercept from the sample's odds to those of all labels
 
 
 @dataclass(frozen=True)
@@ -74,7 +75,7 @@ def _row_sets(texts: list[str | None], bits: int, skip: bool, lower: bool) -> li
 
 
 def fit_ftrl(rows: list[np.ndarray], y: np.ndarray, p: FtrlParams, prior: float) -> SparseModel:
-    """FTRL-proximal over binary features; afterwards the intercept moves from the sample's odds to the prior's."""
+    """FTRL-proximal over binary features; if natural, the intercept then moves from the sample's odds to the prior's."""
     n = 1 << p.bits
     z, g2 = np.zeros(n + 1), np.zeros(n + 1)
     rng = np.random.default_rng(7)
@@ -102,7 +103,7 @@ def fit_ftrl(rows: list[np.ndarray], y: np.ndarray, p: FtrlParams, prior: float)
             g2[n] += gg
     index = np.flatnonzero(np.abs(z[:n]) > p.l1)
     share = min(max(float(np.mean(y)), 1e-6), 1 - 1e-6) if len(y) else prior
-    shift = np.log(prior / (1 - prior)) - np.log(share / (1 - share))
+    shift = np.log(prior / (1 - prior)) - np.log(share / (1 - share)) if p.natural else 0.0
     return SparseModel(index, weights(index).astype(np.float32), float(bias() + shift), p.bits)
 
 
