@@ -36,7 +36,7 @@ class MixParams:
     steps: int = 12
     #: rates this near to 1 leave a document as it is when rows are dealt out
     steady: float = 0.1
-    fit: FtrlParams = FtrlParams(bits=18, per_class=2500, alpha=1.0, l1=5.0, epochs=8, natural=True)
+    fit: FtrlParams = FtrlParams(bits=18, per_class=2500, alpha=0.5, l1=1.5, epochs=5, natural=True)
 
 
 def domain_models(docs: DataFrame, labels: DataFrame, p: MixParams) -> list[SparseModel]:
