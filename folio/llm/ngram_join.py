@@ -36,7 +36,7 @@ from . import kernels as K
 from .common import as_schema, id_bitmap, id_slot, persist, slim
 from .components import connected_components
 
-GROUPS = 32
+GROUPS = 256
 STARS = 4
 BLOCK = 1024
 FAN = 16
@@ -183,7 +183,7 @@ def cells(rows: DataFrame, num: int, den: int) -> DataFrame:
 
         def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             part, size, rep, own = (t.column(c).to_numpy() for c in ("component", "size", "rep", "own"))
-            points = np.frombuffer(b"".join(t.column("counts").to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
+            points = np.frombuffer(b"".join(t.column("counts").to_pylist()), "<u4").reshape(-1, GROUPS)
             return cell_pairs(rep, points, size, part, own, num, den)
 
         def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -281,7 +281,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     first = connected_components(links)
     lab = reps.join(first, reps["rep"] == first["node"], "left").select("rep", "size", "counts", "prefix", F.coalesce("component", "rep").alias("component"))
     keys = lab.select(F.explode("prefix").alias("key"), "rep", "component")
-    open_ = keys.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi")
+    # keys of the very same classes make one cell: told by the count and two xors of hashes
+    same = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    open_ = keys.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), *same).where("lo < hi")
+    open_ = open_.groupBy("c", "x1", "x2").agg(F.min("key").alias("key"))
     open_, _ = persist(open_.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "open")
     mine = F.pmod(F.xxhash64("rep", F.lit(6)), F.col("blocks")).cast("int")
     hit = keys.join(open_, "key").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
