@@ -251,21 +251,6 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> D
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, as_schema("a long, b long"))
 
 
-def bounded(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose summed coordinate minima leave a link possible."""
-    narrow = reps.select("rep", "size", "counts")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p, q = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(-1, GROUPS) for c in (2, 3))
-            n, m = b.column(4).to_numpy(), b.column(5).to_numpy()
-            yield b.select(["a", "b"]).filter(pa.array(overlap_fits(np.minimum(p, q).sum(axis=1, dtype=np.int64), n, m, num, den)))
-
-    one = narrow.toDF("a", "n", "p")
-    two = narrow.toDF("b", "m", "q")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "p", "q", "n", "m").mapInArrow(run, as_schema("a long, b long"))
-
-
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) for every row."""
     docs = slim(docs, "doc_id", "text")
@@ -277,19 +262,23 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     star = reps.select(F.posexplode("stars").alias("no", "key"), "rep")
     hub = star.groupBy("no", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1")
     tries = star.join(hub, ["no", "key"]).where("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links, _ = persist(verified(bounded(tries, reps, num, den), docs, n, num, den), "links")
+    links, _ = persist(verified(tries, docs, n, num, den), "links")
     first = connected_components(links)
     lab = reps.join(first, reps["rep"] == first["node"], "left").select("rep", "size", "counts", "prefix", F.coalesce("component", "rep").alias("component"))
-    keys = lab.select(F.explode("prefix").alias("key"), "rep", "component")
-    # keys of the very same classes make one cell: told by the count and two xors of hashes
-    same = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
-    open_ = keys.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), *same).where("lo < hi")
-    open_ = open_.groupBy("c", "x1", "x2").agg(F.min("key").alias("key"))
+    keys = lab.select(F.explode("prefix").alias("key"), "rep", "component", "size")
+    # keys of the very same classes make one cell: told by count, ends and an xor of hashes
+    same = F.bit_xor(F.xxhash64("rep")).alias("x")
+    open_ = keys.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), same).where("lo < hi")
+    open_ = open_.groupBy("c", "lo", "hi", "x").agg(F.min("key").alias("key"))
     open_, _ = persist(open_.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "open")
     mine = F.pmod(F.xxhash64("rep", F.lit(6)), F.col("blocks")).cast("int")
     hit = keys.join(open_, "key").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    hit = hit.select("key", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "rep", "component").distinct()
-    hit = hit.join(lab.select("rep", "size", "counts"), "rep")
+    hit = hit.select("key", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "rep", "component", "size")
+    # a class that has a partner of fitting size in its cell has one beside it in order of size
+    near = Window.partitionBy("key", "b1", "b2").orderBy("size")
+    below, above = F.lag("size").over(near), F.lead("size").over(near)
+    fits = (below * den >= F.col("size") * num) | (F.col("size") * den >= above * num)
+    hit = hit.withColumn("fits", fits).where("fits").drop("fits").join(lab.select("rep", "counts"), "rep")
     more = verified(cells(hit, num, den), docs, n, num, den)
     label = connected_components(links.unionByName(more))
     found = cls.join(label, cls["rep"] == label["node"], "left").select("s1", "s2", "size", F.coalesce("component", "rep").alias("component"))
