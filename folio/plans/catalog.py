@@ -1,4 +1,464 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, each with its SQL where SQL can express it.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Views: a page is a document, its book the language, its number the rank of its id within the book.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from ..config import EngineConfig
+from ..functions import text as X
+from ..functions.dims import CHAPTER_TITLES, EXCLUDED_CHAPTERS, EXCLUDED_SECTIONS, STOP_WORDS, TOPICS
+from ..operators import answer, chunk, clean, embed, hierarchy, present, rank, retrieve, understand
+from ..sources import pages as P
+from . import retrieval
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def load(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("lang").orderBy("doc_id")
+    return load(spark, d, "documents").select("doc_id", F.col("lang").alias("book_id"), F.col("source").alias("book_title"), F.row_number().over(w).alias("page_number"), "text")
+
+
+def book_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as pages of the two known books, with headings put in: every eleventh opens a chapter or section."""
+    p = pages(spark, d).withColumn("n", F.col("page_number"))
+    aap = F.col("book_id").isin("en", "de")
+    head = F.when(F.col("n") % 11 != 0, "").when(aap, F.concat(F.lit("Chapter "), (F.col("n") / 11 % 52 + 1).cast("int").cast("string"), F.lit("\n"))).otherwise(
+        F.concat((F.col("n") / 11 % 3 + 1).cast("int").cast("string"), F.lit("."), (F.col("n") / 33 % 9 + 1).cast("int").cast("string"), F.lit(" Growth and Feeding\n"))
+    )
+    book = F.when(aap, "aap8").otherwise("pnp3")
+    title = F.when(aap, "Pediatric-Nutrition").otherwise("PNP 3rd Edition Book")
+    num = F.row_number().over(Window.partitionBy(book).orderBy("doc_id"))
+    return p.select("doc_id", book.alias("book_id"), title.alias("book_title"), num.alias("page_number"), F.concat(head, "text").alias("text"), F.lit("f.pdf").alias("source"))
+
+
+WS = r"[ \t\n\x0B\f\r]"
+PG = "(select doc_id, lang as book_id, source as book_title, row_number() over (partition by lang order by doc_id) as page_number, text from documents)"
+STRIPPED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+COMPACT = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
+SEARCH = "array_to_string(regexp_extract_all(lower(text), '([A-Za-z0-9]+|[؀-ۿ]+)'), ' ')"
+STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+TOKENS = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9]+|[؀-ۿ]+'), lambda w: w not in ({STOP}))"
+TOK = f"(select doc_id, unnest(case when len({TOKENS}) = 0 then ['__empty__'] else {TOKENS} end) as term from documents)"
+
+
+# scans and reports
+@query(f"select doc_id, length(text)::bigint as n_chars from documents where length({STRIPPED}) >= 40")
+def load_low_text_filter(spark, d):
+    return P.usable_pages(load(spark, d, "documents").select("doc_id", "text"), 40).select("doc_id", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("select source as book_title, count(*)::bigint as pages, sum(length(text))::bigint as characters from documents group by rollup (source)")
+def document_report(spark, d):
+    return P.document_report(load(spark, d, "documents").select(F.col("source").alias("book_title"), "text"))
+
+
+@query("select doc_id, sha256(text) as fingerprint from documents")
+def fingerprint(spark, d):
+    return load(spark, d, "documents").select("doc_id", P.fingerprint("text").alias("fingerprint"))
+
+
+@query(r"""select page_id, case when s = '' then 'book' else replace(s, ' ', '_') end as book_id from (
+    select page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', ' ', 'g')) as s from pages)""")
+def slug_book_id(spark, d):
+    ident, _ = P.book_identity("url")
+    return load(spark, d, "pages").select("page_id", ident.alias("book_id"))
+
+
+# normalisers
+@query(f"select doc_id, {SEARCH} as normalized from documents where regexp_full_match(text, '[\\x00-\\x7F]*')")
+def search_text(spark, d):
+    return load(spark, d, "documents").where(F.col("text").rlike("^[\\x00-\\x7F]*\\z")).select("doc_id", X.search_text("text").alias("normalized"))
+
+
+@query(f"select doc_id, {COMPACT} as compacted from documents")
+def compact_text(spark, d):
+    return load(spark, d, "documents").select("doc_id", X.compact("text").alias("compacted"))
+
+
+@query(r"select doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') as matched from documents where regexp_full_match(text, '[\x00-\x7F]*')")
+def match_text(spark, d):
+    return load(spark, d, "documents").where(F.col("text").rlike("^[\\x00-\\x7F]*\\z")).select("doc_id", X.match_text("text").alias("matched"))
+
+
+@query("select doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') as html from documents")
+def safe_html(spark, d):
+    return load(spark, d, "documents").select("doc_id", X.safe_html("text").alias("html"))
+
+
+LINE_LIST = r"list_filter(list_transform((string_split(text, chr(10)))[1:12], lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')"
+
+
+@query(f"select doc_id, len({LINE_LIST})::int as n, array_to_string({LINE_LIST}, '|') as head from documents")
+def page_lines(spark, d):
+    ls = X.page_lines("text", 12)
+    return load(spark, d, "documents").select("doc_id", F.size(ls).alias("n"), F.array_join(ls, "|").alias("head"))
+
+
+# cleaning
+EDGES = r"""lines as (select book_id, doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as ls from pg),
+forms as (select distinct book_id, doc_id, regexp_replace(regexp_replace(lower(l), '\d+', '#', 'g'), '[ \t]+', ' ', 'g') as line
+    from (select book_id, doc_id, unnest(list_concat(ls[1:5], ls[greatest(1, len(ls) - 4):])) as l from lines)),
+need as (select book_id, greatest(12, round_even(count(*) * 0.12, 0))::bigint as need from pg group by book_id)"""
+
+
+@query(f"with pg as {PG}, {EDGES} select f.book_id, line, count(*)::bigint as pages from forms f join need n on f.book_id = n.book_id where length(line) >= 4 group by f.book_id, line, need having count(*) >= need")
+def repeated_edge_lines(spark, d):
+    return clean.repeated_edge_lines(pages(spark, d))
+
+
+@query()
+def clean_pages(spark, d):
+    return clean.preprocess(pages(spark, d)).select("doc_id", "text", "original_character_count", "clean_character_count", "preprocessing_version")
+
+
+@query()
+def preprocessing_report(spark, d):
+    p = pages(spark, d)
+    return clean.preprocessing_report(p, clean.preprocess(p))
+
+
+# index statistics and BM25
+@query(f"select term, count(distinct doc_id)::bigint as df from {TOK} group by term")
+def term_stats(spark, d):
+    idx = load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return retrieve.term_stats(retrieve.postings(retrieve.tokens(idx, F.col("text"))), 1).select("term", "df")
+
+
+@query(f"select doc_id as chunk_id, count(*)::bigint as dl from {TOK} group by doc_id")
+def doc_len(spark, d):
+    idx = load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return retrieve.doc_lengths(retrieve.tokens(idx, F.col("text")))
+
+
+BM25 = f"""with tok as {TOK}, post as (select term, doc_id, count(*) as tf from tok group by all), dl as (select doc_id, count(*) as dl from tok group by all),
+n as (select count(*) as n from documents), av as (select avg(dl) as avgdl from dl), df as (select term, count(*) as df from post group by term),
+raw as (select term, ln(n - df + 0.5) - ln(df + 0.5) as raw from df, n), mean as (select avg(raw) as mean from raw),
+idf as (select term, case when raw < 0 then 0.25 * mean else raw end as idf from raw, mean),
+q as (select item_id, term, count(*) as qtf from (select item_id, unnest(case when len({TOKENS}) = 0 then ['__empty__'] else {TOKENS} end) as term from benchmark) group by all),
+sc as (select item_id, p.doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score from q join post p using (term) join idf using (term) join dl on dl.doc_id = p.doc_id, av group by item_id, p.doc_id),
+rk as (select item_id, doc_id, score, row_number() over (partition by item_id order by round(score, 9) desc, doc_id) as rank from sc)"""
+
+
+@query(BM25 + " select item_id, doc_id, rank::int as rank, round(score, 6) as score from rk where rank <= 10 and score > 0")
+def bm25_topk(spark, d):
+    idx = load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    q = load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(0).alias("qi"), F.col("text").alias("q"))
+    out = retrieve.bm25(q, idx, 10, F.col("text"))
+    return out.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
+
+
+DENSE = "list_inner_product(a.embedding::double[], b.embedding::double[])"
+
+
+@query(f"select q as query_id, c as chunk_id, rank::int as rank, round(s, 6) as score from (select b.vec_id as q, a.vec_id as c, {DENSE} as s, row_number() over (partition by b.vec_id order by {DENSE} desc, a.vec_id) as rank from embeddings a, embeddings b where b.vec_id % 100 = 0) where rank <= 10")
+def dense_topk(spark, d):
+    e = load(spark, d, "embeddings")
+    idx = e.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("qi"), F.col("embedding").alias("qv"))  # the stated query set
+    return retrieve.dense(q, idx, 10).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+def _hits(spark, d):
+    """BM25 over the documents and nearest vectors of the same ids, for one set of questions: the benchmark items."""
+    docs = load(spark, d, "documents")
+    q = load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(0).alias("qi"), F.col("text").alias("q"))
+    lex = retrieve.bm25(q, docs.select(F.col("doc_id").alias("chunk_id"), "text"), 10, F.col("text"))
+    e = load(spark, d, "embeddings")
+    vec = q.join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), "query_id")
+    return retrieve.dense(vec, e.select(F.col("vec_id").alias("chunk_id"), "embedding"), 10), lex, q.withColumn("w", F.lit(1.0))
+
+
+FUSE = f"""{BM25}, lex as (select item_id, doc_id, rank, score from rk where rank <= 10 and score > 0),
+den as (select * from (select b.vec_id as item_id, a.vec_id as doc_id, {DENSE} as score, row_number() over (partition by b.vec_id order by {DENSE} desc, a.vec_id) as rank from embeddings a, embeddings b where b.vec_id in (select item_id from benchmark)) where rank <= 10),
+u as (select item_id, doc_id, 1.0::double / (60 + rank) as part, score as sim, null::double as lexs from den union all select item_id, doc_id, 0.22::double / (60 + rank), null, score from lex),
+f as (select item_id as query_id, doc_id as chunk_id, coalesce(max(sim), 0) as sim, coalesce(max(lexs), 0) as lexs, sum(part) as rrf from u group by all)"""
+
+
+@query(FUSE + " select query_id, chunk_id, round(sim, 6) as semantic_similarity, round(lexs, 6) as bm25_score, round(rrf, 8) as rrf_score from f")
+def rrf_fusion(spark, d):
+    a, b, w = _hits(spark, d)
+    return retrieve.fuse(a, b, w).select("query_id", "chunk_id", F.round("semantic_similarity", 6).alias("semantic_similarity"), F.round("bm25_score", 6).alias("bm25_score"), F.round("rrf_score", 8).alias("rrf_score"))
+
+
+@query(FUSE + " select query_id, chunk_id, round(sim + 8 * rrf + 0.01 * lexs, 6) as score, row_number() over (partition by query_id order by round(sim + 8 * rrf + 0.01 * lexs, 9) desc, chunk_id)::int as rank from f")
+def hybrid_stage(spark, d):
+    a, b, w = _hits(spark, d)
+    f = retrieve.fuse(a, b, w).withColumn("s", retrieve.hybrid_score())
+    return f.select("query_id", "chunk_id", F.round("s", 6).alias("score"), F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("s", 9)), "chunk_id")).alias("rank"))
+
+
+MM = "case when abs(max({0}) over w - min({0}) over w) <= 1e-9 * greatest(abs(max({0}) over w), abs(min({0}) over w)) then case when max({0}) over w > 0 then 1.0 else 0.0 end else ({0} - min({0}) over w) / (max({0}) over w - min({0}) over w) end"
+
+
+@query(FUSE + f" select query_id, chunk_id, round({MM.format('sim')}, 4) as semantic, round({MM.format('lexs')}, 4) as bm25, round({MM.format('rrf')}, 4) as rrf from f window w as (partition by query_id)")
+def minmax_features(spark, d):
+    a, b, w = _hits(spark, d)
+    f = retrieve.fuse(a, b, w)
+    return f.select("query_id", "chunk_id", *[F.round(rank.min_max(c), 4).alias(n) for n, c in (("semantic", "semantic_similarity"), ("bm25", "bm25_score"), ("rrf", "rrf_score"))])
+
+
+@query(FUSE + f" select query_id, chunk_id, round(0.25 * ({MM.format('sim')}) + 0.08 * ({MM.format('rrf')}), 4) as final_score from f window w as (partition by query_id)")
+def weighted_score(spark, d):
+    a, b, w = _hits(spark, d)
+    f = retrieve.fuse(a, b, w)
+    return f.select("query_id", "chunk_id", F.round(0.25 * rank.min_max("semantic_similarity") + 0.08 * rank.min_max("rrf_score"), 4).alias("final_score"))
+
+
+# questions
+QS = "(select conv_id, turn, text from conversations)"
+PAD = "(' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ')"
+
+
+def _ascii_aliases(topic) -> list[str]:
+    return [X.match_form(a) for a in topic.aliases if a.isascii()]
+
+
+TOPIC_SQL = "list_filter([" + ", ".join(f"case when {' or '.join(f'contains({PAD}, {chr(39)} {a} {chr(39)})' for a in _ascii_aliases(t))} then '{t.name}' end" for t in TOPICS) + "], lambda x: x is not null)"
+#: English questions that name every topic, beside the conversations
+QUESTIONS = [f"What about {a} for a child of {i % 18} years" for i, a in enumerate(a for t in TOPICS for a in t.aliases if a.isascii())]
+INLINE = "(values " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS)) + ") as t(query_id, text)"
+
+
+def questions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(QUESTIONS)), "query_id int, text string")
+
+
+@query(f"select query_id, array_to_string({TOPIC_SQL}, ',') as topics from {INLINE}")
+def topic_detect(spark, d):
+    q = questions(spark).withColumn("m", X.match_text("text"))
+    return q.select("query_id", F.array_join(understand.base_topics(F.col("m")), ",").alias("topics"))
+
+
+@query()
+def topic_detect_enhanced(spark, d):
+    q = questions(spark).withColumn("m", X.match_text("text")).withColumn("t", understand.topics(F.col("m")))
+    return q.select("query_id", F.array_join("t", ",").alias("topics"), F.array_join(understand.useful_topics(F.col("t")), ",").alias("useful"))
+
+
+@query(f"""select query_id, case when age <> '' then case when age::int <= 12 then 'school_age' else 'adolescent' end when contains(s, 'adolescent') or contains(s, 'teen') or contains(s, 'puberty') then 'adolescent' else 'school_age_adolescent' end as age_scope
+    from (select query_id, s, regexp_extract(s, '\\b(\\d{{1,2}})\\s*(?:years?|yrs?)\\b', 1) as age from (select query_id, {SEARCH} as s from {INLINE}))""")
+def age_scope(spark, d):
+    return questions(spark).select("query_id", understand.age_scope(X.search_text("text")).alias("age_scope"))
+
+
+@query()
+def query_understanding(spark, d):
+    q = understand.understood(questions(spark).withColumnRenamed("text", "question"))
+    return q.select("query_id", "expansion", F.array_join("queries", "|").alias("queries"), "rerank_query")
+
+
+@query("select conv_id, turn, case when len(regexp_extract_all(text, '[؀-ۿ]')) >= len(regexp_extract_all(text, '[A-Za-z]')) then 'Arabic' else 'English' end as language from conversations")
+def language_detect(spark, d):
+    return load(spark, d, "conversations").select("conv_id", "turn", understand.language("text").alias("language"))
+
+
+@query("select conv_id, turn, contains(l, 'nutritional needs') or contains(l, 'nutrition needs') or contains(l, 'healthy diet') or contains(l, 'balanced diet') or contains(l, 'what should') or contains(l, 'what does a child need') or contains(l, 'food groups') or contains(l, 'daily diet') as broad from (select conv_id, turn, lower(text) as l from conversations)")
+def broad_question(spark, d):
+    return load(spark, d, "conversations").select("conv_id", "turn", understand.is_broad("text").alias("broad"))
+
+
+@query(r"select doc_id, trim(text, chr(10) || ' ') as question, case when contains(text, 'é') then 'fr' else 'en' end as language from (select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') as text from documents)")
+def parse_sections(spark, d):
+    made = F.concat(F.lit("USER QUESTION:\n"), X.strip("text"), F.lit("\n\nRESPONSE LANGUAGE:\n"), F.when(F.contains("text", F.lit("é")), "fr").otherwise("en"), F.lit("\n\nCHILD PROFILE AUTOMATICALLY SUPPLIED BY THE APPLICATION:\nnone"))
+    p = load(spark, d, "documents").withColumn("a", understand.application_input(made))
+    return p.select("doc_id", F.col("a.question").alias("question"), F.col("a.language").alias("language"))
+
+
+# pages, hierarchy, chunks
+@query()
+def page_classify(spark, d):
+    return book_pages(spark, d).select("doc_id", "page_number", hierarchy.page_class(EngineConfig()).alias("content_type"))
+
+
+@query("""with p as (select doc_id, lang, row_number() over (partition by lang order by doc_id) as n from documents), h as (select *, case when n % 7 = 0 then 'part ' || (n // 7)::varchar end as head from p)
+    select doc_id, coalesce(last_value(head ignore nulls) over (partition by lang order by n rows between unbounded preceding and current row), '') as part from h""")
+def hierarchy_forward_fill(spark, d):
+    w = Window.partitionBy("book_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, 0)
+    head = F.when(F.col("page_number") % 7 == 0, F.concat(F.lit("part "), F.floor(F.col("page_number") / 7).cast("string")))
+    return pages(spark, d).select("doc_id", F.coalesce(F.last(head, ignorenulls=True).over(w), F.lit("")).alias("part"))
+
+
+@query()
+def attach_hierarchy(spark, d):
+    h = hierarchy.attach_hierarchy(book_pages(spark, d))
+    return h.select("doc_id", "book_layout", "content_type", "part_title", "section_title", "chapter_title", "chapter_number", "hierarchy_path", "school_scope", "indexable")
+
+
+@query("select doc_id, case when source = lang then source else source || ' > ' || lang end as path from documents")
+def hierarchy_path(spark, d):
+    p = load(spark, d, "documents").withColumn("front", F.lit("Front Matter"))
+    return p.select("doc_id", hierarchy.hierarchy_path("source", "front", "lang").alias("path"))
+
+
+@query(f"select doc_id, number, case when book = 'aap8' then try_cast(number as int) not in {EXCLUDED_CHAPTERS} else not ({' or '.join(f'number = {chr(39)}{p}{chr(39)} or starts_with(number, {chr(39)}{p}.{chr(39)})' for p in EXCLUDED_SECTIONS)}) end as allowed from (select doc_id, case when lang in ('en', 'de') then 'aap8' else 'pnp3' end as book, case when lang in ('en', 'de') then (doc_id % 52 + 1)::varchar else (doc_id % 5 + 1)::varchar || '.' || (doc_id // 5 % 20 + 1)::varchar end as number from documents)")
+def scope_filter(spark, d):
+    aap = F.col("lang").isin("en", "de")
+    number = F.when(aap, (F.col("doc_id") % 52 + 1).cast("string")).otherwise(F.concat((F.col("doc_id") % 5 + 1).cast("string"), F.lit("."), (F.floor(F.col("doc_id") / 5) % 20 + 1).cast("string")))
+    p = load(spark, d, "documents").select("doc_id", F.when(aap, "aap8").otherwise("pnp3").alias("book_id"), number.alias("chapter_number"), F.lit("").alias("hierarchy_path"))
+    return p.select("doc_id", F.col("chapter_number").alias("number"), hierarchy.scope_allows().alias("allowed"))
+
+
+@query("select doc_id, 'Chapter ' || (doc_id % 60)::varchar || case (doc_id % 60) " + " ".join(f"when {i} then ': {t.replace(chr(39), chr(39) * 2)}'" for i, t in enumerate(CHAPTER_TITLES, 1)) + " else '' end as label from documents")
+def chapter_label(spark, d):
+    return load(spark, d, "documents").select("doc_id", hierarchy.chapter_label(F.col("doc_id") % 60).alias("label"))
+
+
+@query()
+def recursive_chunks(spark, d):
+    c = EngineConfig()
+    p = load(spark, d, "documents").withColumn("p", chunk.splitter(c.chunk_size, c.chunk_overlap)("text"))
+    return p.select("doc_id", F.posexplode("p").alias("n", "text"))
+
+
+def _as_chunks(spark, d):
+    return load(spark, d, "documents").select("doc_id", F.col("lang").alias("book_id"), F.col("source").alias("hierarchy_path"), F.col("doc_id").alias("page_number"), F.lit(1).alias("chunk_index_on_page"), "text")
+
+
+@query(f"select doc_id from (select doc_id, row_number() over (partition by sha256(lang || '|' || lower({COMPACT})) order by doc_id) as r from documents) where r = 1")
+def chunk_dedup(spark, d):
+    return chunk.first_of_duplicates(_as_chunks(spark, d)).select("doc_id")
+
+
+@query(f"select doc_id, lang || '_p' || doc_id::varchar || '_c1_' || substr(sha256(lang || '|' || doc_id::varchar || '|' || source || '|1|' || substr({COMPACT}, 1, 700)), 1, 18) as chunk_id from documents")
+def chunk_id(spark, d):
+    c = _as_chunks(spark, d)
+    return c.select("doc_id", chunk.chunk_id(*[F.col(x) for x in ("book_id", "page_number", "hierarchy_path", "chunk_index_on_page", "text")]).alias("chunk_id"))
+
+
+@query()
+def reference_like(spark, d):
+    return load(spark, d, "documents").select("doc_id", chunk.reference_like("text").alias("reference_like"))
+
+
+@query("""select case g when 1 then 'book' when 2 then 'chapter' else 'total' end as section, coalesce(case g when 1 then book when 2 then chapter end, '') as name, n as chunks, bad as suspicious
+    from (select lang as book, source as chapter, grouping(lang, source) as g, count(*)::bigint as n, count(distinct case when source = 'src3' or n_chars < 100 then doc_id end)::bigint as bad from documents group by grouping sets ((lang), (source), ()))""")
+def chunk_audit(spark, d):
+    c = load(spark, d, "documents").select(F.col("lang").alias("book_title"), F.col("source").alias("chapter_title"), F.col("doc_id").alias("chunk_id"), F.when((F.col("source") == "src3") | (F.col("n_chars") < 100), "index").otherwise("body").alias("content_type"))
+    return chunk.audit(c)
+
+
+@query()
+def create_chunks(spark, d):
+    c = chunk.create_chunks(clean.preprocess(book_pages(spark, d)))
+    return c.select("chunk_id", "book_id", "page_number", "chunk_index_on_page", "chapter_title", "hierarchy_path", "text", "chunk_size_characters")
+
+
+# embeddings
+@query("select count(*)::bigint as vectors, count(distinct len(embedding))::bigint as dimensions, count(*) filter (len(list_filter(embedding, lambda x: not isfinite(x))) > 0)::bigint as not_finite, count(*) filter (abs(sqrt(list_inner_product(embedding::double[], embedding::double[])) - 1) > 1e-3)::bigint as off_norm from embeddings")
+def embedding_checks(spark, d):
+    return embed.embedding_checks(load(spark, d, "embeddings"))
+
+
+@query("select doc_id, 'passage: Book: ' || source || chr(10) || 'Chapter: ' || lang || case when text = '' or text like '%: ' then '' else chr(10) || 'Content: ' || text end as passage from documents")
+def passage_text(spark, d):
+    p = load(spark, d, "documents").select("doc_id", F.col("source").alias("book_title"), F.lit("").alias("hierarchy_path"), F.col("lang").alias("chapter_title"), F.lit(None).cast("string").alias("section_title"), "text")
+    return p.select("doc_id", embed.passage_text().alias("passage"))
+
+
+# ranking and context
+@query("""with recursive h as (select lang as query_id, doc_id as chunk_id, source as path, row_number() over (partition by lang order by doc_id)::int as rank from documents)
+    select query_id, chunk_id, row_number() over (partition by query_id order by rank)::int as position from (select query_id, chunk_id, rank, row_number() over (partition by query_id, path order by rank) as r from h) where r <= 1""")
+def diversify(spark, d):
+    """By path alone: texts differ in no way that matters when each has its path's number in front."""
+    w = Window.partitionBy("lang").orderBy("doc_id")
+    h = load(spark, d, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").cast("string").alias("text"), F.lit("b").alias("book_title"), F.col("source").alias("hierarchy_path"), F.lit("").alias("chapter_title"), F.row_number().over(w).alias("rank"))
+    return rank.diversify(h)
+
+
+@query("""with h as (select source as query_id, doc_id, row_number() over (partition by source order by doc_id)::int as position, lang, text from documents),
+    b as (select query_id, position, '[SOURCE ' || position::varchar || ']' || chr(10) || 'Book: ' || lang || chr(10) || 'Hierarchy: ' || query_id || chr(10) || 'PDF page: ' || position::varchar || chr(10) || 'Text:' || chr(10) || text || chr(10) as b from h),
+    u as (select *, sum(length(b)) over (partition by query_id order by position rows unbounded preceding) as used from b)
+    select query_id, string_agg(b, chr(10) order by position) as context, count(*)::int as blocks from u where position = 1 or used <= 12000 group by query_id""")
+def context_pack(spark, d):
+    w = Window.partitionBy("source").orderBy("doc_id")
+    n = F.row_number().over(w)
+    h = load(spark, d, "documents").select(F.col("source").alias("query_id"), n.alias("position"), F.col("lang").alias("book_title"), F.col("source").alias("hierarchy_path"), n.alias("page_number"), "text")
+    return answer.pack_context(h)
+
+
+@query()
+def topic_anchors(spark, d):
+    return _ranked(spark, d)["chunks"].select("query_id", "position", "chunk_id", "stage")
+
+
+def _index(spark, d):
+    p = book_pages(spark, d)
+    titled = p.withColumn("chapter_title", F.element_at(F.array(*map(F.lit, CHAPTER_TITLES)), (F.col("doc_id") % 52 + 1).cast("int")))
+    return titled.select(
+        F.col("doc_id").cast("string").alias("chunk_id"), "text", "book_title", "source", "page_number", "chapter_title", F.lit("").alias("section_title"), F.lit("").alias("part_title"),
+        F.col("chapter_title").alias("hierarchy_path"), embed.encoder()(F.col("text")).alias("embedding"),
+    )
+
+
+ASKED = ["calcium and bone mass", "sports nutrition of athletes", "growth charts and body mass index", "iron and anemia at 9 years", "What should be in a healthy diet", "school lunch and food safety"]
+
+
+def _ranked(spark, d):
+    q = spark.createDataFrame([(f"q{i}", a) for i, a in enumerate(ASKED)], "query_id string, question string")
+    return retrieval.retrieve_context(q, _index(spark, d))
+
+
+@query()
+def retrieve_context(spark, d):
+    return _ranked(spark, d)["candidates"].select("query_id", "chunk_id", "final_rank", F.round("final_score", 6).alias("final_score"), F.round("metadata_score", 6).alias("metadata_score"))
+
+
+@query()
+def answer_questions(spark, d):
+    q = spark.createDataFrame([(f"q{i}", a) for i, a in enumerate(ASKED)], "query_id string, question string")
+    a = retrieval.answer_questions(q, _index(spark, d), EngineConfig(generator=lambda p: F.concat(F.lit("As the sources say [SOURCE 1]. "), F.substring(p, 16, 40))))
+    return present.presented(a).select("query_id", "answer", "retrieved_count", "age_scope", "status", "direction", "label", "html")
+
+
+@query("select conv_id, turn, len(list_filter(regexp_extract_all(text || ' [source ' || (turn % 9)::varchar || ']', '\\[(?i:SOURCE)\\s+(\\d+)\\]', 1), lambda k: k::bigint between 1 and 5)) > 0 as cited from conversations")
+def citation_check(spark, d):
+    c = load(spark, d, "conversations").withColumn("a", F.concat("text", F.lit(" [source "), (F.col("turn") % 9).cast("string"), F.lit("]")))
+    return c.select("conv_id", "turn", answer.cites_source("a", F.lit(5)).alias("cited"))
+
+
+@query("""select c_custkey as id, case when h > 0 and w > 0 then round(w / ((h / 100.0) * (h / 100.0)), 4) else 0.0 end::double as bmi
+    from (select c_custkey, (c_custkey % 200)::int as h, (c_custkey % 90)::int as w from customer)""")
+def profile_bmi(spark, d):
+    p = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 200).cast("int").alias("height_cm"), (F.col("c_custkey") % 90).cast("int").alias("weight_kg"))
+    return p.select("id", F.round(present.bmi(), 4).alias("bmi"))
+
+
+@query()
+def profile_context(spark, d):
+    rows = [tuple(present.new_profile().values()), ("Sam", 9, "Boy", "3B", 130, 28, ["Constipation"], ["Egg Allergy"], "Very active", ["Fish", " "], " okra ")]
+    p = spark.createDataFrame(rows, T.StructType.fromDDL(present.PROFILE)).withColumn("profile", present.profile_text())
+    return p.select("profile", present.effective_question(F.lit("Is milk fine?"), "profile").alias("question"))
+
+
+@query("""select doc_id, case when doc_id % 7 = 0 or draft = '' or upper(draft) = 'NO_RELIABLE_CONTEXT' then 'insufficient_context' when doc_id % 3 = 0 or doc_id % 2 = 0 then 'success' else 'citation_validation_failed' end as status
+    from (select doc_id, case doc_id % 5 when 0 then '' when 1 then 'no_reliable_context' else 'x' end as draft from documents)""")
+def answer_status(spark, d):
+    i = F.col("doc_id")
+    base = F.when(i % 5 == 0, "").when(i % 5 == 1, "no_reliable_context").otherwise("x")
+    draft = F.when((i % 3 == 0) & (base == "x"), "x [SOURCE 2]").otherwise(base)
+    s = load(spark, d, "documents").select("doc_id", F.when(i % 7 == 0, "").otherwise("c").alias("context"), F.lit(3).alias("retrieved_count"), draft.alias("draft"), F.when(i % 2 == 0, "y [SOURCE 1]").otherwise("y [SOURCE 9]").alias("repair"))
+    return answer.answer_state(s).select("doc_id", "status")
