@@ -47,8 +47,19 @@ def remainder(doc_id: str | Column, mod: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % F.lit(mod)
 
 
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows: a Python worker holds one batch of whole texts at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "0")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def slim(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra or clashing ones can't interfere; absent ones as null."""
+    small_batches(df.sparkSession)
     have = {c.lower(): c for c in df.columns}
     kinds = {"doc_id": "bigint", "text": "string", "lang": "string", "n_chars": "bigint"}
     return df.select(*[(F.col(f"`{have[n]}`") if n in have else F.lit(None)).cast(kinds.get(n, "string")).alias(n) for n in names])

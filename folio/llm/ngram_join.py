@@ -36,7 +36,7 @@ from . import kernels as K
 from .common import as_schema, id_bitmap, id_slot, persist, slim
 from .components import connected_components
 
-GROUPS = 256
+GROUPS = 128
 STARS = 4
 BLOCK = 1024
 FAN = 16
@@ -259,9 +259,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     cls, _ = persist(some.groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("rep")), "classes")
     own = some.join(cls, (some["doc_id"] == cls["rep"]) & (some["s1"] == cls["s1"]) & (some["s2"] == cls["s2"]) & (some["size"] == cls["size"]), "left_semi")
     reps, _ = persist(own.dropDuplicates(["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("rep"), "size", "stars", "prefix", "counts"), "reps")
-    star = reps.select(F.posexplode("stars").alias("no", "key"), "rep")
-    hub = star.groupBy("no", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    tries = star.join(hub, ["no", "key"]).where("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    star = reps.select(F.posexplode("stars").alias("no", "key"), "rep", "size")
+    hub = star.groupBy("no", "key").agg(F.min(F.struct("rep", "size")).alias("m"), F.count("*").alias("c")).where("c > 1").select("no", "key", F.col("m.rep").alias("hub"), F.col("m.size").alias("hub_size"))
+    sizes_fit = (F.least("size", "hub_size") * den >= F.greatest("size", "hub_size") * num) & (F.col("rep") > F.col("hub"))
+    tries = star.join(hub, ["no", "key"]).where(sizes_fit).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links, _ = persist(verified(tries, docs, n, num, den), "links")
     first = connected_components(links)
     lab = reps.join(first, reps["rep"] == first["node"], "left").select("rep", "size", "counts", "prefix", F.coalesce("component", "rep").alias("component"))
