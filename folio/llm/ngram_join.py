@@ -213,8 +213,26 @@ def cells(rows: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, as_schema("a long, b long")).distinct()
 
 
+def fine_counts(s: np.ndarray) -> bytes:
+    """Counts of a set in at least half as many groups as it has members, a byte each; empty if one doesn't fit."""
+    groups = 1 << max(8, (max(len(s), 2) // 2 - 1).bit_length())
+    counts = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def fine_fits(p: bytes, q: bytes, num: int, den: int) -> bool:
+    """Whether the summed minima of two fine count vectors, folded to the coarser one, leave a link possible."""
+    if not p or not q:
+        return True
+    if len(p) < len(q):
+        p, q = q, p
+    x, y = np.frombuffer(p, np.uint8).reshape(-1, len(q)).sum(axis=0, dtype=np.int64), np.frombuffer(q, np.uint8)
+    return (num + den) * int(np.minimum(x, y).sum()) >= num * int(x.sum() + y.sum(dtype=np.int64))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids that link. Sets are read again, of the documents in pairs only."""
+    """The pairs (a, b) of doc_ids that link. Sets are read again, of the documents in pairs only; a pair's fine count
+    vectors are tried before its sets are sent to it, so that long documents don't travel for nothing."""
     spark = docs.sparkSession
     pairs, _ = persist(pairs, "pairs")
     if pairs.isEmpty():
@@ -228,11 +246,11 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> D
             slot = b.column(2).to_numpy()
             b = b.filter(pa.array(((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)))
             if b.num_rows:
-                sets = [s.tobytes() for s in batch_sets(b.column(1), n)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+                sets = list(batch_sets(b.column(1), n))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([fine_counts(s) for s in sets], pa.binary())], ["doc_id", "shingles", "fine"])
 
     source = docs.where("doc_id is not null").select("doc_id", "text", id_slot("doc_id").alias("slot"))
-    sets = source.mapInArrow(run, as_schema("doc_id long, shingles binary")).join(ids.distinct(), "doc_id", "left_semi")
+    sets = source.mapInArrow(run, as_schema("doc_id long, shingles binary, fine binary")).join(ids.distinct(), "doc_id", "left_semi")
     sets, _ = persist(sets, "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,6 +265,15 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> D
                     ok[i] = den * same >= num * (len(both) - same)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [fine_fits(batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), num, den) for i in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    fine = sets.select("doc_id", "fine")
+    near = pairs.join(fine.toDF("a", "p"), "a").join(fine.toDF("b", "q"), "b").select("a", "b", "p", "q")
+    pairs = near.mapInArrow(bound, as_schema("a long, b long"))
+    sets = sets.select("doc_id", "shingles")
     one, two = sets.withColumnRenamed("doc_id", "a").withColumnRenamed("shingles", "x"), sets.withColumnRenamed("doc_id", "b").withColumnRenamed("shingles", "y")
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, as_schema("a long, b long"))
 
