@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ from .common import as_schema, persist, slim
 KINDS = ("email", "ip", "card", "phone", "term")
 REACH = 6
 BITS = 23
+#: terms whose documents a task counts before it hands the counts on
+HELD = 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -139,12 +142,23 @@ def revealing_terms(docs: DataFrame, support: int = 4, alpha: float = 0.7) -> Da
     bits = docs.sparkSession.sparkContext.broadcast(slot_bitmap(tied))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(bits.value)
-        for b in batches:
-            out = [w for t in b.column(0).to_pylist() if t for w in {w.lower() for w in _TERM.findall(t)} if known(w)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["term"])
+        known, count = Known(bits.value), Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
+            count.clear()
+            return out
 
-    df = text.mapInArrow(hits, as_schema("term string")).groupBy("term").agg(F.count("*").alias("df"))
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if t:
+                    count.update({w for w in set(map(str.lower, _TERM.findall(t))) if known(w)})
+                if len(count) >= HELD:
+                    yield flush()
+        if count:
+            yield flush()
+
+    df = text.mapInArrow(hits, as_schema("term string, n long")).groupBy("term").agg(F.sum("n").alias("df"))
     n = F.lit(float(max(total, 1)))
     pmi = F.log(F.col("n_te") / n) - F.log(F.col("n_e") / n) - F.log(F.col("df") / F.lit(float(max(docs_n, 1))))
     info = -F.log(F.col("n_e") / n)
