@@ -24,10 +24,11 @@ doc_id links with nothing and has a null component; an empty table gives no rows
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,7 +84,22 @@ def common_slots(docs: DataFrame, n: int) -> bytes:
     return bytes(out)
 
 
-PROFILE = "doc_id long, size long, s1 long, s2 long, stars array<long>, prefix array<long>, counts binary"
+def packed(counts: np.ndarray) -> bytes:
+    """Group counts in as few bytes each as the largest needs: 1, 2 or 4."""
+    return counts.astype(next(k for k in ("<u1", "<u2", "<u4") if counts.max() <= np.iinfo(k).max)).tobytes()
+
+
+def unpacked(counts: list[bytes]) -> np.ndarray:
+    """The points of packed counts, a row each."""
+    out = np.zeros((len(counts), GROUPS), np.uint32)
+    width = np.fromiter(map(len, counts), np.int64, len(counts)) // GROUPS
+    for k in np.unique(width):
+        at = np.flatnonzero(width == k)
+        out[at] = np.frombuffer(b"".join(counts[i] for i in at), f"<u{k}").reshape(-1, GROUPS)
+    return out
+
+
+PROFILE = "doc_id long, row long, size long, s1 long, s2 long, stars array<long>, prefix array<long>, counts binary"
 
 
 def profiles(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -92,12 +108,13 @@ def profiles(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sent.value, np.uint8)
         names = [c.split()[0] for c in PROFILE.split(", ")]
-        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
+        number = TaskContext.get().partitionId() << 33
         for b in batches:
             cols: list[list] = [[] for _ in kinds]
             for s in batch_sets(b.column(1), n):
                 if not len(s):
-                    row = (0, 0, 0, [], [], b"")
+                    row = (number, 0, 0, 0, [], [], b"")
                 else:
                     first = len(s) - -(-len(s) * num // den) + 1
                     slot = s >> np.uint64(64 - SLOT_BITS)
@@ -105,8 +122,9 @@ def profiles(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     prefix = s[np.argsort(often, kind="stable")[:first]]
                     sig = [int(np.bitwise_xor.reduce(K.mix(s * o)).view(np.int64)) for o in ODD[:2]]
                     stars = [int((s * o).min().view(np.int64)) for o in ODD]
-                    counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4")
-                    row = (len(s), *sig, stars, prefix.view(np.int64), counts.tobytes())
+                    counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+                    row = (number, len(s), *sig, stars, prefix.view(np.int64), packed(counts))
+                number += 1
                 for c, x in zip(cols[1:], row, strict=True):
                     c.append(x)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols[1:], kinds[1:], strict=True))], names)
@@ -183,8 +201,7 @@ def cells(rows: DataFrame, num: int, den: int) -> DataFrame:
 
         def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             part, size, rep, own = (t.column(c).to_numpy() for c in ("component", "size", "rep", "own"))
-            points = np.frombuffer(b"".join(t.column("counts").to_pylist()), "<u4").reshape(-1, GROUPS)
-            return cell_pairs(rep, points, size, part, own, num, den)
+            return cell_pairs(rep, unpacked(t.column("counts").to_pylist()), size, part, own, num, den)
 
         def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
             keys = [t.column(c).to_numpy() for c in ("key", "b1", "b2")]
@@ -230,15 +247,10 @@ def fine_fits(p: bytes, q: bytes, num: int, den: int) -> bool:
     return (num + den) * int(np.minimum(x, y).sum()) >= num * int(x.sum() + y.sum(dtype=np.int64))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids that link. Sets are read again, of the documents in pairs only; a pair's fine count
-    vectors are tried before its sets are sent to it, so that long documents don't travel for nothing."""
-    spark = docs.sparkSession
-    pairs, _ = persist(pairs, "pairs")
-    if pairs.isEmpty():
-        return pairs
+def of_pairs(pairs: DataFrame, docs: DataFrame, n: int, name: str, form: Callable[[np.ndarray], bytes]) -> tuple[DataFrame, DataFrame]:
+    """(a, x) and (b, y): the form of the set of each document in pairs, read again from its text."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    sent = spark.sparkContext.broadcast(id_bitmap(ids, "doc_id"))
+    sent = docs.sparkSession.sparkContext.broadcast(id_bitmap(ids, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sent.value, np.uint8)
@@ -246,12 +258,24 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> D
             slot = b.column(2).to_numpy()
             b = b.filter(pa.array(((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)))
             if b.num_rows:
-                sets = list(batch_sets(b.column(1), n))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([fine_counts(s) for s in sets], pa.binary())], ["doc_id", "shingles", "fine"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([form(s) for s in batch_sets(b.column(1), n)], pa.binary())], ["doc_id", "form"])
 
     source = docs.where("doc_id is not null").select("doc_id", "text", id_slot("doc_id").alias("slot"))
-    sets = source.mapInArrow(run, as_schema("doc_id long, shingles binary, fine binary")).join(ids.distinct(), "doc_id", "left_semi")
-    sets, _ = persist(sets, "sets")
+    forms, _ = persist(source.mapInArrow(run, as_schema("doc_id long, form binary")), name)
+    return forms.toDF("a", "x"), forms.toDF("b", "y")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of doc_ids that link. A pair's fine count vectors are tried first; whole sets are read again,
+    and sent, of the documents in the pairs left only, so that long documents don't travel for nothing."""
+    pairs, _ = persist(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [fine_fits(batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), num, den) for i in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,17 +289,11 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> D
                     ok[i] = den * same >= num * (len(both) - same)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [fine_fits(batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), num, den) for i in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    fine = sets.select("doc_id", "fine")
-    near = pairs.join(fine.toDF("a", "p"), "a").join(fine.toDF("b", "q"), "b").select("a", "b", "p", "q")
-    pairs = near.mapInArrow(bound, as_schema("a long, b long"))
-    sets = sets.select("doc_id", "shingles")
-    one, two = sets.withColumnRenamed("doc_id", "a").withColumnRenamed("shingles", "x"), sets.withColumnRenamed("doc_id", "b").withColumnRenamed("shingles", "y")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, as_schema("a long, b long"))
+    for name, form, test in (("fine", fine_counts, bound), ("sets", np.ndarray.tobytes, check)):
+        one, two = of_pairs(pairs, docs, n, name, form)
+        passed = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(test, as_schema("a long, b long"))
+        pairs, _ = persist(passed, f"{name}-passed")
+    return pairs
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -283,14 +301,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     docs = slim(docs, "doc_id", "text")
     prof, _ = persist(profiles(docs, n, num, den), "profiles")
     some = prof.where("size > 0 and doc_id is not null")
-    cls, _ = persist(some.groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("rep")), "classes")
-    own = some.join(cls, (some["doc_id"] == cls["rep"]) & (some["s1"] == cls["s1"]) & (some["s2"] == cls["s2"]) & (some["size"] == cls["size"]), "left_semi")
-    reps, _ = persist(own.dropDuplicates(["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("rep"), "size", "stars", "prefix", "counts"), "reps")
+    least = some.groupBy("s1", "s2", "size").agg(F.min(F.struct("doc_id", "row")).alias("m"))
+    cls, _ = persist(least.select("s1", "s2", "size", F.col("m.doc_id").alias("rep"), F.col("m.row").alias("row")), "classes")
+    reps, _ = persist(some.join(cls.select("row"), "row", "left_semi").select(F.col("doc_id").alias("rep"), "size", "stars", "prefix", "counts"), "reps")
     star = reps.select(F.posexplode("stars").alias("no", "key"), "rep", "size")
     hub = star.groupBy("no", "key").agg(F.min(F.struct("rep", "size")).alias("m"), F.count("*").alias("c")).where("c > 1").select("no", "key", F.col("m.rep").alias("hub"), F.col("m.size").alias("hub_size"))
     sizes_fit = (F.least("size", "hub_size") * den >= F.greatest("size", "hub_size") * num) & (F.col("rep") > F.col("hub"))
     tries = star.join(hub, ["no", "key"]).where(sizes_fit).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links, _ = persist(verified(tries, docs, n, num, den), "links")
+    links = verified(tries, docs, n, num, den)
     first = connected_components(links)
     lab = reps.join(first, reps["rep"] == first["node"], "left").select("rep", "size", "counts", "prefix", F.coalesce("component", "rep").alias("component"))
     keys = lab.select(F.explode("prefix").alias("key"), "rep", "component", "size")
