@@ -42,6 +42,7 @@ STARS = 4
 BLOCK = 1024
 FAN = 16
 SLOT_BITS = 23
+OPEN_BITS = 26
 SAMPLE, OFTEN = 32, 6
 ODD = (np.random.default_rng(29).integers(0, 1 << 63, STARS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -76,14 +77,39 @@ def common_slots(docs: DataFrame, n: int) -> bytes:
 
     picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(SAMPLE)) == 0).select("text")
     often = picked.mapInArrow(run, as_schema("s long")).groupBy("s").count().where(F.col("count") >= OFTEN)
-    slot = F.shiftrightunsigned("s", 64 - SLOT_BITS) + 1
-    rows = often.select(slot.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("m")).collect()
-    out = bytearray((1 << SLOT_BITS) // 8)
-    for r in rows:  # at most 2**SLOT_BITS / 32768 rows of 4 KB
+    return slot_bitmap(often, "s", SLOT_BITS)
+
+
+def slot_bitmap(rows: DataFrame, key: str, width: int) -> bytes:
+    """Bitmap of the slots (first `width` bits) of keys."""
+    slot = F.shiftrightunsigned(key, 64 - width) + 1
+    rows = rows.select(slot.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("m")).collect()
+    out = bytearray((1 << width) // 8)
+    for r in rows:  # at most 2**width / 32768 rows of 4 KB
         out[(r["b"] - 1) * 4096 : r["b"] * 4096] = bytes(r["m"])
     return bytes(out)
 
 
+def in_slots(bits: bytes, keys: np.ndarray, width: int) -> np.ndarray:
+    """Whether the slot of each key is in the bitmap."""
+    slot = keys >> np.uint64(64 - width)
+    return (np.frombuffer(bits, np.uint8)[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def keys_in_slots(lab: DataFrame, bits: bytes) -> DataFrame:
+    """(key, rep, component, size) of the prefix shingles whose slot is in the bitmap."""
+    sent = lab.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column(0).flatten().to_numpy()
+            row = np.repeat(np.arange(b.num_rows), b.column(0).value_lengths().to_numpy())
+            ok = in_slots(sent.value, keys.view(np.uint64), OPEN_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[ok]), *(b.column(c).take(pa.array(row[ok])) for c in (1, 2, 3))], ["key", "rep", "component", "size"])
+
+    return lab.select("prefix", "rep", "component", "size").mapInArrow(run, as_schema("key long, rep long, component long, size long"))
+
+
 def packed(counts: np.ndarray) -> bytes:
     """Group counts in as few bytes each as the largest needs: 1, 2 or 4."""
     return counts.astype(next(k for k in ("<u1", "<u2", "<u4") if counts.max() <= np.iinfo(k).max)).tobytes()
@@ -106,7 +132,7 @@ def profiles(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(common_slots(docs, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(sent.value, np.uint8)
+        bits = sent.value
         names = [c.split()[0] for c in PROFILE.split(", ")]
         kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
         number = TaskContext.get().partitionId() << 33
@@ -117,9 +143,7 @@ def profiles(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     row = (number, 0, 0, 0, [], [], b"")
                 else:
                     first = len(s) - -(-len(s) * num // den) + 1
-                    slot = s >> np.uint64(64 - SLOT_BITS)
-                    often = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
-                    prefix = s[np.argsort(often, kind="stable")[:first]]
+                    prefix = s[np.argsort(in_slots(bits, s, SLOT_BITS), kind="stable")[:first]]
                     sig = [int(np.bitwise_xor.reduce(K.mix(s * o)).view(np.int64)) for o in ODD[:2]]
                     stars = [int((s * o).min().view(np.int64)) for o in ODD]
                     counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
@@ -311,14 +335,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     links = verified(tries, docs, n, num, den)
     first = connected_components(links)
     lab = reps.join(first, reps["rep"] == first["node"], "left").select("rep", "size", "counts", "prefix", F.coalesce("component", "rep").alias("component"))
-    keys = lab.select(F.explode("prefix").alias("key"), "rep", "component", "size")
+    keys = lab.select(F.explode("prefix").alias("key"), "rep", "component")
     # keys of the very same classes make one cell: told by count, ends and an xor of hashes
     same = F.bit_xor(F.xxhash64("rep")).alias("x")
     open_ = keys.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), same).where("lo < hi")
     open_ = open_.groupBy("c", "lo", "hi", "x").agg(F.min("key").alias("key"))
     open_, _ = persist(open_.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "open")
     mine = F.pmod(F.xxhash64("rep", F.lit(6)), F.col("blocks")).cast("int")
-    hit = keys.join(open_, "key").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # a bitmap of fixed size (8 MB) keeps most keys of no cell from the shuffle; the join settles what it lets pass
+    some_keys = keys_in_slots(lab, slot_bitmap(open_, "key", OPEN_BITS))
+    hit = some_keys.join(open_, "key").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     hit = hit.select("key", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "rep", "component", "size")
     # a class that has a partner of fitting size in its cell has one beside it in order of size
     near = Window.partitionBy("key", "b1", "b2").orderBy("size")
