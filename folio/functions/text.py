@@ -177,6 +177,19 @@ def unique_strings(values: str | Column) -> Column:
     return _unique(col(values))
 
 
+def ascii_form(c: str | Column) -> Column:
+    """search_text of ASCII text, which needs no compatibility forms and so no UDF."""
+    return _search_form(col(c))
+
+
+def distinct_by_form(pairs: list[tuple[Column, Column]]) -> Column:
+    """unique_strings of a few (value, form) pairs, without a UDF of its own: Spark doesn't always take out a UDF that
+    stands over another's result within a lambda, and then can't run the plan. Blank values go by their empty form."""
+    items = F.array(*[F.struct(compact(v).alias("v"), f.alias("f")) for v, f in pairs])
+    step = lambda a, x: F.when((x["f"] == "") | F.exists(a, lambda k: k["f"] == x["f"]), a).otherwise(F.array_append(a, x))
+    return let(items, lambda i: F.transform(F.aggregate(i, F.slice(i, 1, 0), step), lambda k: k["v"]))
+
+
 def page_lines(c: str | Column, most: int = 70) -> Column:
     """The first `most` raw lines, each compacted, blank ones left out afterwards."""
     return F.filter(F.transform(F.slice(lines(F.coalesce(col(c), F.lit(""))), 1, most), compact), lambda x: x != "")

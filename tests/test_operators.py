@@ -93,3 +93,28 @@ def test_top_k_is_cut_before_the_shuffle(spark):
     q = spark.createDataFrame([("q", 0, [1.0, 0.0])], "query_id string, qi int, qv array<float>")
     plan = retrieve.dense(q, idx, 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_queries_are_distinct_by_form(spark):
+    asked = ["Iron  needs", "Café diets, teens", "calcium", "adolescents pediatric nutrition", "12 years: sports"]
+    d = spark.createDataFrame([(i, a) for i, a in enumerate(asked)], "query_id int, question string")
+    rows = understand.understood(d, rewriter=lambda c: F.concat(F.lit("Iron needs of "), c)).collect()
+    for r in rows:
+        new = r["rewritten"]
+        assert r["queries"] == X._distinct([x for x in (r["question"], r["expansion"], new) if x])
+        assert r["rerank_query"] == " | ".join(X._distinct([r["expansion"], new or r["question"], r["question"]]))
+    assert any(r["rewritten"] for r in rows)
+    assert [r["queries"] for r in understand.understood(d).collect()] == [X._distinct([r["question"], r["expansion"]]) for r in rows]
+
+
+def test_answers_run_again_in_one_session(spark):
+    from folio.operators import embed
+    from folio.plans import retrieval
+
+    rows = [(f"c{i}", t, "B", "f.pdf", i, c, "", "", c) for i, (t, c) in enumerate([("Iron helps blood.", "Iron"), ("Calcium helps bones.", "Calcium"), ("Fluids and sports.", "Sports Nutrition")])]
+    idx = spark.createDataFrame(rows, "chunk_id string, text string, book_title string, source string, page_number int, chapter_title string, section_title string, part_title string, hierarchy_path string")
+    idx = idx.withColumn("embedding", embed.encoder()(F.col("text")))
+    q = spark.createDataFrame([("a", "iron and blood"), ("b", "calcium for bones")], "query_id string, question string")
+    config = EngineConfig(generator=lambda p: F.concat(F.lit("Yes [SOURCE 1]. "), F.substring(p, 1, 4)))
+    got = [sorted((r["query_id"], r["status"], r["retrieved_count"]) for r in retrieval.answer_questions(q, idx, config).collect()) for _ in range(2)]
+    assert got[0] == got[1] == [("a", "success", 3), ("b", "success", 3)]
