@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from folio.llm import embedding_dedup, fingerprints, language, mixing, ngram_join, packing, pii, quality, sharding, toxicity
+from folio.llm import components, embedding_dedup, fingerprints, language, mixing, ngram_join, packing, pii, quality, sharding, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double"
 
@@ -78,6 +78,15 @@ def test_near_dedup_is_exact(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (900, 901, 902, 903))
 
 
+def test_components_of_a_shuffled_chain(spark):
+    ids = np.random.default_rng(7).permutation(5000) + 10
+    chain = [(int(a), int(b)) for a, b in zip(ids, ids[1:], strict=False)]
+    star = [(9000, 8000 + i) for i in range(20)] + [(8005, 8003), (7, 7)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(chain + star, "a long, b long")).collect()}
+    assert got == {**{int(i): 10 for i in ids}, **{8000 + i: 8000 for i in range(20)}, 9000: 8000}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_ngram_join_is_exact(docs):
     got = {r["doc_id"]: r for r in ngram_join.jaccard_components(docs, 4, 85, 100).collect()}
     sets = {}
