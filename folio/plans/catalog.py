@@ -104,6 +104,18 @@ def match_text(spark, d):
     return load(spark, d, "documents").where(F.col("text").rlike("^[\\x00-\\x7F]*\\z")).select("doc_id", X.match_text("text").alias("matched"))
 
 
+@query()
+def search_text_all(spark, d):
+    """Every document: DuckDB has no NFKC, so search_text, which has SQL, is of ASCII texts alone."""
+    return load(spark, d, "documents").select("doc_id", X.search_text("text").alias("normalized"))
+
+
+@query()
+def match_text_all(spark, d):
+    """Every document: DuckDB has no NFKD, so match_text, which has SQL, is of ASCII texts alone."""
+    return load(spark, d, "documents").select("doc_id", X.match_text("text").alias("matched"))
+
+
 @query("select doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') as html from documents")
 def safe_html(spark, d):
     return load(spark, d, "documents").select("doc_id", X.safe_html("text").alias("html"))

@@ -118,3 +118,28 @@ def test_answers_run_again_in_one_session(spark):
     config = EngineConfig(generator=lambda p: F.concat(F.lit("Yes [SOURCE 1]. "), F.substring(p, 1, 4)))
     got = [sorted((r["query_id"], r["status"], r["retrieved_count"]) for r in retrieval.answer_questions(q, idx, config).collect()) for _ in range(2)]
     assert got[0] == got[1] == [("a", "success", 3), ("b", "success", 3)]
+
+
+def plain_search(t):
+    import re
+    import unicodedata
+
+    t = unicodedata.normalize("NFKC", t or "").lower()
+    t = "".join(c for c in t if not any(a <= ord(c) <= b for a, b in ((0x610, 0x61A), (0x64B, 0x65F), (0x670, 0x670), (0x6D6, 0x6ED))))
+    for a, b in ("\u0623\u0627", "\u0625\u0627", "\u0622\u0627", "\u0649\u064a", "\u0624\u0648", "\u0626\u064a"):
+        t = t.replace(a, b)
+    return " ".join(re.findall("[A-Za-z0-9]+|[\u0600-\u06ff]+", t.replace("\u0640", "")))
+
+
+def test_normalisers_run_over_all_documents(spark, tmp_path):
+    from folio.functions import text as X
+    from folio.plans import catalog
+
+    some = ["Plain ASCII 12", "Caf\u00e9 na\u00efve \ufb01ve", "\u0623\u064e\u0637\u0641\u0627\u0644 \u0648\u0627\u0644\u063a\u0630\u0627\u0621 12", "\u65e5\u672c \uff21\uff22", "", None]
+    spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["normalized"] for r in catalog.QUERIES["search_text_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: plain_search(t) for i, t in enumerate(some)}
+    got = {r["doc_id"]: r["matched"] for r in catalog.QUERIES["match_text_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: X.match_form(t or "") for i, t in enumerate(some)}
+    assert got[1] == "cafe naive five" and got[2] == "\u0627\u0637\u0641\u0627\u0644 \u063a\u0630\u0627\u0621 12"
+    assert not {"search_text_all", "match_text_all"} & set(catalog.ORACLE_SQL)
