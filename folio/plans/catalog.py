@@ -283,6 +283,39 @@ def query_understanding(spark, d):
     return q.select("query_id", "expansion", F.array_join("queries", "|").alias("queries"), "rerank_query")
 
 
+def conversations(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "conversations").select("conv_id", "turn", "text")
+
+
+@query()
+def topic_detect_all(spark, d):
+    """Every turn, all aliases; topic_detect, which has SQL, is of QUESTIONS alone. So are the three below."""
+    q = conversations(spark, d).withColumn("m", X.match_text("text"))
+    return q.select("conv_id", "turn", F.array_join(understand.base_topics(F.col("m")), ",").alias("topics"))
+
+
+@query()
+def topic_detect_enhanced_all(spark, d):
+    q = conversations(spark, d).withColumn("m", X.match_text("text")).withColumn("t", understand.topics(F.col("m")))
+    return q.select("conv_id", "turn", F.array_join("t", ",").alias("topics"), F.array_join(understand.useful_topics(F.col("t")), ",").alias("useful"))
+
+
+@query()
+def age_scope_all(spark, d):
+    return conversations(spark, d).select("conv_id", "turn", understand.age_scope(X.search_text("text")).alias("age_scope"))
+
+
+@query()
+def query_understanding_all(spark, d):
+    """Every turn; blank ones, which the operator refuses, have nulls."""
+    c = conversations(spark, d)
+    blank = X.compact("text") == ""
+    q = understand.understood(c.where(~blank).withColumnRenamed("text", "question"))
+    q = q.select("conv_id", "turn", "expansion", F.array_join("queries", "|").alias("queries"), "rerank_query")
+    none = F.lit(None).cast("string")
+    return q.unionByName(c.where(blank).select("conv_id", "turn", none.alias("expansion"), none.alias("queries"), none.alias("rerank_query")))
+
+
 @query("select conv_id, turn, case when len(regexp_extract_all(text, '[؀-ۿ]')) >= len(regexp_extract_all(text, '[A-Za-z]')) then 'Arabic' else 'English' end as language from conversations")
 def language_detect(spark, d):
     return load(spark, d, "conversations").select("conv_id", "turn", understand.language("text").alias("language"))
@@ -401,6 +434,15 @@ def diversify(spark, d):
     return rank.diversify(h)
 
 
+@query()
+def diversify_all(spark, d):
+    """By text, book (the source) and chapter; diversify, which has SQL, is by path alone."""
+    w = Window.partitionBy("lang").orderBy("doc_id")
+    title = F.element_at(F.array(*map(F.lit, CHAPTER_TITLES)), (F.col("doc_id") % 52 + 1).cast("int"))
+    h = load(spark, d, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("book_title"), F.lit("").alias("hierarchy_path"), title.alias("chapter_title"), F.row_number().over(w).alias("rank"))
+    return rank.diversify(h)
+
+
 @query("""with h as (select source as query_id, doc_id, row_number() over (partition by source order by doc_id)::int as position, lang, text from documents),
     b as (select query_id, position, '[SOURCE ' || position::varchar || ']' || chr(10) || 'Book: ' || lang || chr(10) || 'Hierarchy: ' || query_id || chr(10) || 'PDF page: ' || position::varchar || chr(10) || 'Text:' || chr(10) || text || chr(10) as b from h),
     u as (select *, sum(length(b)) over (partition by query_id order by position rows unbounded preceding) as used from b)

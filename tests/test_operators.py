@@ -143,3 +143,20 @@ def test_normalisers_run_over_all_documents(spark, tmp_path):
     assert got == {i: X.match_form(t or "") for i, t in enumerate(some)}
     assert got[1] == "cafe naive five" and got[2] == "\u0627\u0637\u0641\u0627\u0644 \u063a\u0630\u0627\u0621 12"
     assert not {"search_text_all", "match_text_all"} & set(catalog.ORACLE_SQL)
+
+
+def test_questions_and_diversity_over_whole_tables(spark, tmp_path):
+    from folio.functions.dims import TOPICS
+    from folio.plans import catalog
+
+    topic, alias = next((t.name, a) for t in TOPICS for a in t.aliases if not a.isascii())
+    some = [f"x {alias} x", "calcium for a child of 9 years", "", "  ", None, "caf\u00e9 " * 500]
+    spark.createDataFrame([(1, i, t) for i, t in enumerate(some)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    docs = [(1, "One text", "en", "s1"), (2, "one TEXT", "en", "s2"), (3, "another", "en", "s3"), (53, "a third", "en", "s1")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {n: {r["turn"]: r for r in catalog.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("topic_detect_all", "topic_detect_enhanced_all", "age_scope_all", "query_understanding_all")}
+    assert all(sorted(r) == list(range(len(some))) for r in rows.values())
+    assert topic in rows["topic_detect_all"][0]["topics"].split(",") and rows["topic_detect_all"][4]["topics"] == ""
+    assert topic in rows["topic_detect_enhanced_all"][0]["topics"].split(",") and rows["age_scope_all"][1]["age_scope"] == "school_age"
+    assert [rows["query_understanding_all"][i]["queries"] is None for i in range(len(some))] == [False, False, True, True, True, False]
+    assert [r["chunk_id"] for r in catalog.QUERIES["diversify_all"](spark, str(tmp_path)).orderBy("position").collect()] == [1, 3]
