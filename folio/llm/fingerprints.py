@@ -3,7 +3,8 @@
 A text is a sequence of tokens: runs without ASCII white space, longer ones in pieces of eight characters. Inner
 substrings (s-mers) are runs of two tokens, by hash; a k-mer of six tokens has five of them, and is chosen if the
 least lies at its first or last place. Whether a k-mer is chosen depends on nothing but itself, so an edit
-changes only the anchors that touch it. Texts of fewer than five s-mers keep them all.
+changes only the anchors that touch it. Of four k-mers in a row one is chosen; texts of fewer than eight s-mers may
+have none, so they keep all s-mers, and every text with a token has a fingerprint.
 
 The fingerprint is the chosen k-mers' hashes, eight hex digits each, in order of first occurrence; the likeness
 of two is the Jaccard index of their sets, 1 for two empty ones, 0 if one is empty. `anchors` gives them with
@@ -47,7 +48,7 @@ def with_anchors(df: DataFrame, text: str, out: str, places: bool = False) -> Da
 
     every = F.transform(s, lambda x, i: F.struct(i.alias("place"), x.bitwiseAND(mask).alias("hash")) if places else x.bitwiseAND(mask))
     some = F.filter(F.transform(s, chosen), lambda x: x.isNotNull())
-    picked = F.when(n < 5, every).otherwise(some)
+    picked = F.when(n < 8, every).otherwise(some)
     return df.withColumn(out, picked if places else F.array_distinct(picked)).drop(t, h)
 
 

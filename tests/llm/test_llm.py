@@ -167,6 +167,15 @@ def test_fingerprints(docs):
     assert "Python" not in fingerprints.edited_pairs(docs)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_every_text_with_a_token_has_a_fingerprint(spark):
+    rng = np.random.default_rng(8)
+    made = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, n)) for n in range(1, 30) for _ in range(30)] + ["", "  ", None]
+    rows = {r["doc_id"]: r for r in fingerprints.edited_pairs(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()}
+    assert all((rows[i]["fingerprint"] == "") == (not (t or "").strip()) for i, t in enumerate(made))
+    assert all(rows[i]["near_next"] < 1 for i, t in enumerate(made[:-3]))
+    assert {r["doc_id"] for r in fingerprints.anchors(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()} == set(range(len(made) - 3))
+
+
 def test_gru_gradient():
     p = language.init(3, 2)
     x = np.random.default_rng(0).integers(0, 256, (5, 4)).astype(np.uint8)
