@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,10 +17,13 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session has none, as in tests, a local folder is made and kept for the session.
+    Only where a local session has none, as in tests, a local folder is made and kept for the session; a cluster
+    without one is refused, as each machine would write to its own disk.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folio-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -64,14 +71,32 @@ def slim(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[(F.col(f"`{have[n]}`") if n in have else F.lit(None)).cast(kinds.get(n, "string")).alias(n) for n in names])
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run for mapInArrow; at its end the worker, which Spark uses again, gives freed memory back."""
+
+    @functools.wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # only glibc has it
+                pass
+
+    return inner
+
+
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: Column, keep: Column, per_class: int = 4000, max_bytes: int = 65536
-) -> tuple[list, dict[int, int]]:
-    """A bounded sample of labelled rows for fitting: (rows of doc_id, text, y), and rows per class in all labels.
+    docs: DataFrame, labels: DataFrame, label: Column, keep: Column, per_class: int, form: Callable[[pa.Array], list[bytes]], max_bytes: int = 65536
+) -> tuple[list[bytes], list[int], dict[int, int]]:
+    """A bounded sample of labelled rows for fitting: forms of the texts, labels, and rows per class in all labels.
 
     Bounds (documented parameters): at most per_class labelled documents of each class, the first by a hash of
-    the id, and texts of at most max_bytes bytes. A document labelled more than once has its largest label.
-    Only fitting is bounded so; scoring covers every whole text.
+    the id, and texts of at most max_bytes bytes. A document labelled more than once has its largest label, one
+    with more than one text its least by hash. Texts become features on the executors; only these come to the
+    driver. Only fitting is bounded so; scoring covers every whole text.
     """
     lab = labels.where(keep & label.isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label.cast("int")).alias("y"))
     lab = lab.withColumn("h", F.xxhash64("doc_id", F.lit(17)))
@@ -81,15 +106,20 @@ def labelled_sample(
         part = lab.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     if picked is None:
-        return [], {}
+        return [], [], {}
     ids = {r["doc_id"]: r["y"] for r in picked.select("doc_id", "y").collect()}  # at most per_class for each class
-    spark = docs.sparkSession
-    small = spark.createDataFrame(list(ids.items()), "doc_id long, y int")
-    rows = (
-        slim(docs, "doc_id", "text").where(F.octet_length("text") <= max_bytes)
-        .join(F.broadcast(small), "doc_id").dropDuplicates(["doc_id"]).collect()
-    )
-    return sorted(rows, key=lambda r: r["doc_id"]), counts
+    small = docs.sparkSession.createDataFrame(list(ids.items()), "doc_id long, y int")
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(form(b.column(2)), pa.binary())], ["doc_id", "y", "h", "form"])
+
+    texts = slim(docs, "doc_id", "text").where(F.octet_length("text") <= max_bytes).join(F.broadcast(small), "doc_id")
+    formed = texts.select("doc_id", "y", "text", F.xxhash64("text").alias("h")).mapInArrow(run, as_schema("doc_id long, y int, h long, form binary"))
+    rows = formed.groupBy("doc_id").agg(F.min_by(F.struct("y", "form"), "h").alias("r")).select("doc_id", "r.y", "r.form").toArrow().sort_by("doc_id")
+    return [x.as_py() for x in rows["form"]], rows["y"].to_pylist(), counts
 
 
 BITMAP_BITS = 23

@@ -13,6 +13,8 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: lower case, and every ASCII character but letters and digits as a space
+LETTERS = np.array([b + 32 if 65 <= b < 91 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], dtype=np.uint8)
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 PIECE = 1 << 21
@@ -83,12 +85,13 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return h
 
 
-def words(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words and the rows' bounds among them; data holds the rows of bounds[0]:bounds[-1]."""
+def words(data: np.ndarray, bounds: np.ndarray, table: np.ndarray | None = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, bytes read through the table, and the rows' bounds among them; data holds the rows of
+    bounds[0]:bounds[-1]."""
     data = data[bounds[0] : bounds[-1]]
     bounds = bounds - bounds[0]
-    if lower:
-        data = LOWER[data]
+    if table is not None:
+        data = table[data]
     starts, ends, at = word_spans(data, bounds)
     return hash_spans(data, starts, ends), at
 
@@ -123,5 +126,16 @@ def row_sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def row_counts(kinds: np.ndarray, bounds: np.ndarray, width: int, slab: int = 1 << 18) -> np.ndarray:
+    """How often each of `width` kinds occurs in the rows' bounds, a slab of the positions at a time."""
+    out = np.zeros((len(bounds) - 1, width), np.int64)
+    for lo in range(0, len(kinds), slab):
+        hi = min(lo + slab, len(kinds))
+        first, last = int(np.searchsorted(bounds, lo, "right")) - 1, int(np.searchsorted(bounds, hi, "left"))
+        row = np.repeat(np.arange(last - first), np.diff(np.clip(bounds[first : last + 1], lo, hi)))
+        out[first:last] += np.bincount(row * width + kinds[lo:hi], minlength=(last - first) * width).reshape(-1, width)
+    return out
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))

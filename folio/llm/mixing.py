@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import as_schema, persist, slim
+from .common import as_schema, persist, slim, tidy
 from .toxicity import FtrlParams, SparseModel, row_scores, train
 
 DOMAINS = ("clean", "low", "toxic")
@@ -30,21 +30,22 @@ DOMAINS = ("clean", "low", "toxic")
 
 @dataclass(frozen=True)
 class MixParams:
-    #: shares of the tokens wanted of each domain; the budget is such that `anchor` keeps its tokens
+    #: shares of the tokens wanted of each domain; the budget is such that `anchor` has its tokens times 1 + lift,
+    #: so that rates of its documents lie a little above 1 and dealing by fractions repeats a few of them but drops none
     weights: dict[str, float] = field(default_factory=lambda: {"clean": 0.96, "low": 0.03, "toxic": 0.01})
     anchor: str = "clean"
+    lift: float = 0.02
     steps: int = 12
-    #: rates this near to 1 leave a document as it is when rows are dealt out
-    steady: float = 0.1
-    fit: FtrlParams = FtrlParams(bits=18, per_class=2500, alpha=0.5, l1=1.5, epochs=5, natural=True)
+    fit: FtrlParams = FtrlParams(bits=18, per_class=2500, alpha=0.5, l1=1.5, epochs=5, natural=True, balanced=False, pair_value=None, cut=None)
 
 
 def domain_models(docs: DataFrame, labels: DataFrame, p: MixParams) -> list[SparseModel]:
-    """A sparse logistic model for each domain, on words as they stand."""
+    """A sparse logistic model for each domain, on words as they stand. A row whose label leaves a domain open, being
+    null, isn't used for that domain."""
     label = {
-        "clean": F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0),
-        "low": F.when(F.col("quality") == 0, 1).otherwise(0),
-        "toxic": F.when(F.col("toxic") == 1, 1).otherwise(0),
+        "clean": ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int"),
+        "low": (F.col("quality") == 0).cast("int"),
+        "toxic": (F.col("toxic") == 1).cast("int"),
     }
     return [train(docs, labels, label[d], F.lit(True), p.fit, skip=False, lower=False) for d in DOMAINS]
 
@@ -67,6 +68,7 @@ def membership(docs: DataFrame, labels: DataFrame, p: MixParams = MixParams()) -
 
 
 def _member(models, at: int, keep: bool):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = models.value
         dense = [m.dense() for m in own]
@@ -89,6 +91,7 @@ def _sums(member: DataFrame, steps: list[tuple[np.ndarray, float]], at_rate: boo
     k = len(DOMAINS)
     size = k + k * k
 
+    @tidy
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for b in batches:
@@ -112,7 +115,7 @@ def fit_steps(member: DataFrame, p: MixParams) -> tuple[list[tuple[np.ndarray, f
     expected, gram = _sums(member, [])
     w = np.array([p.weights.get(d, 0.0) for d in DOMAINS])
     a = DOMAINS.index(p.anchor)
-    target = w / max(w[a], 1e-9) * expected[a]
+    target = w / max(w[a], 1e-9) * expected[a] * (1 + p.lift)
     live = expected > 0
     if not live.any():
         return [], target
@@ -135,6 +138,7 @@ def fit_steps(member: DataFrame, p: MixParams) -> tuple[list[tuple[np.ndarray, f
 def _rated(member: DataFrame, steps: list[tuple[np.ndarray, float]]) -> DataFrame:
     k, at, width = len(DOMAINS), member.columns.index("posterior"), len(member.columns)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rate, _ = replay(b.column(at).flatten().to_numpy().reshape(-1, k), steps)
@@ -155,7 +159,10 @@ def rates(docs: DataFrame, labels: DataFrame, p: MixParams = MixParams()) -> Dat
 
 def mix(docs: DataFrame, labels: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """docs, all columns, each row as often as its rate says: the whole part, and once more where a hash of the
-    document lies under the fraction."""
+    document lies under the fraction. So the expected tokens of the rows dealt out are those of the rates.
+
+    Cases as above; repeated rows are dealt alike; a column of any name is kept.
+    """
     models = docs.sparkSession.sparkContext.broadcast(domain_models(docs, labels, p))
     at = [c.lower() for c in docs.columns].index("text")
     own = [f"__c{i}" for i in range(len(docs.columns))]  # names that can't clash
@@ -167,6 +174,6 @@ def mix(docs: DataFrame, labels: DataFrame, p: MixParams = MixParams()) -> DataF
     ident = [c.lower() for c in docs.columns].index("doc_id")
     u = F.pmod(F.xxhash64(own[ident], own[at], F.lit(41)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     whole = F.floor("rate")
-    copies = F.when(F.abs(F.col("rate") - 1) <= p.steady, 1).otherwise(whole + F.when(u < F.col("rate") - whole, 1).otherwise(0)).cast("int")
+    copies = (whole + F.when(u < F.col("rate") - whole, 1).otherwise(0)).cast("int")
     out = done.withColumn("__n", copies).where("__n > 0").select(*own, F.explode(F.expr("sequence(1, __n)")).alias("__i"))
     return out.select(*own).toDF(*docs.columns)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import as_schema, labelled_sample, remainder, slim
+from .common import as_schema, labelled_sample, remainder, slim, tidy
 
 
 @dataclass(frozen=True)
@@ -46,23 +46,22 @@ class FmModel:
     scale: float
 
 
-def _classes() -> np.ndarray:
-    """Indicator of each byte class, by byte: upper, lower, digit, space, newline, punctuation, mark, bar, high."""
-    t = np.zeros((256, 9), np.float32)
-    t[65:91, 0] = 1
-    t[97:123, 1] = 1
-    t[48:58, 2] = 1
-    t[K.SPACE, 3] = 1
-    t[10, 4] = 1
-    t[[ord(c) for c in ".,;:'\"()?-"], 5] = 1
-    t[[ord(c) for c in "!#$%&*+/<=>@[]^_{}~\\`"], 6] = 1
-    t[ord("|"), 7] = 1
-    t[128:, 8] = 1
+def _kinds() -> np.ndarray:
+    """The class of each byte: upper, lower, digit, space, line feed, punctuation, mark, bar, high, none of these."""
+    t = np.full(256, 9, np.uint8)
+    t[65:91], t[97:123], t[48:58], t[128:] = 0, 1, 2, 8
+    t[K.SPACE] = 3
+    t[10] = 4
+    t[[ord(c) for c in ".,;:'\"()?-"]] = 5
+    t[[ord(c) for c in "!#$%&*+/<=>@[]^_{}~\\`"]] = 6
+    t[ord("|")] = 7
     return t
 
 
-CLASS = _classes()
+KIND = _kinds()
 N_STATS = 14
+CLIP = 8.0
+PIECE = 1 << 19
 
 
 def statistics(data: np.ndarray, bounds: np.ndarray, h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -70,11 +69,9 @@ def statistics(data: np.ndarray, bounds: np.ndarray, h: np.ndarray, at: np.ndarr
     size = np.diff(bounds).astype(np.float64)
     n = np.diff(at).astype(np.float64)
     safe, words = np.maximum(size, 1), np.maximum(n, 1)
-    kind = np.argmax(CLASS, axis=1).astype(np.uint8)
-    kind[CLASS.sum(axis=1) == 0] = 9
-    row = np.repeat(np.arange(len(size)), np.diff(bounds))
-    counts = np.bincount(row * 10 + kind[data], minlength=len(size) * 10).reshape(-1, 10)[:, :9].astype(np.float64)
-    lines = np.bincount(row[data == 10], minlength=len(size))
+    counts = K.row_counts(KIND[data], bounds, 10)[:, :9].astype(np.float64)
+    lines = counts[:, 4].copy()
+    counts[:, 3] += lines
     out = np.zeros((len(size), N_STATS))
     out[:, :9] = counts / safe[:, None]
     out[:, 4] = lines / words
@@ -89,11 +86,16 @@ def statistics(data: np.ndarray, bounds: np.ndarray, h: np.ndarray, at: np.ndarr
     return out
 
 
+def standard(x: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
+    """Statistics as the model takes them, in fitting and in scoring alike."""
+    return np.clip((x - mean) / std, -CLIP, CLIP)
+
+
 def _score_piece(m: FmModel, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     own, rel = data[bounds[0] : bounds[-1]], bounds - bounds[0]
-    h, at = K.words(own, rel, lower=False)
+    h, at = K.words(own, rel, None)
     ix = (h & np.uint64((1 << m.bits) - 1)).astype(np.int64)
-    x = (statistics(own, rel, h, at) - m.mean) / m.std
+    x = standard(statistics(own, rel, h, at), m.mean, m.std)
     one = m.scale / np.maximum(np.diff(at), 1)
     n = 1 << m.bits
     lin = K.row_sums(m.w[ix], at) * one + x @ m.w[n:]
@@ -105,33 +107,40 @@ def _score_piece(m: FmModel, data: np.ndarray, bounds: np.ndarray) -> np.ndarray
 def row_scores(column: pa.Array, m: FmModel) -> np.ndarray:
     data, bounds = K.text_bytes(column)
     out = np.zeros(len(column))
-    for i, j in K.row_pieces(bounds):
+    for i, j in K.row_pieces(bounds, PIECE):
         out[i:j] = _score_piece(m, data, bounds[i : j + 1])
     return out
 
 
-def fit_fm(texts: list[str | None], y: np.ndarray, p: FmParams, prior: float) -> FmModel:
-    """AdaGrad on the logistic loss, one text at a time."""
+def sample_rows(texts: pa.Array, bits: int) -> list[bytes]:
+    """For fitting: a text's statistics, then its distinct word slots and how often each occurs, as bytes."""
+    data, bounds = K.text_bytes(texts)
+    out = []
+    for i, j in K.row_pieces(bounds, PIECE):
+        own, rel = data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+        h, at = K.words(own, rel, None)
+        stats = statistics(own, rel, h, at)
+        ix = (h & np.uint64((1 << bits) - 1)).astype("<u4")
+        for r in range(j - i):
+            slot, count = np.unique(ix[at[r] : at[r + 1]], return_counts=True)
+            out.append(stats[r].astype("<f8").tobytes() + slot.tobytes() + count.astype("<u4").tobytes())
+    return out
+
+
+def fit_fm(forms: list[bytes], y: np.ndarray, p: FmParams, prior: float) -> FmModel:
+    """AdaGrad on the logistic loss, one text at a time. forms: see sample_rows."""
     n = 1 << p.bits
-    data, bounds = K.text_bytes(pa.array(texts, pa.large_string()))
-    rows, stats = [], []
-    for i, j in K.row_pieces(bounds):
-        b = bounds[i : j + 1]
-        own, rel = data[b[0] : b[-1]], b - b[0]
-        h, at = K.words(own, rel, lower=False)
-        stats.append(statistics(own, rel, h, at))
-        ix = (h & np.uint64(n - 1)).astype(np.int64)
-        rows += [np.unique(ix[at[r] : at[r + 1]], return_counts=True) for r in range(j - i)]
-    x = np.concatenate(stats)
+    x = np.array([np.frombuffer(f, "<f8", N_STATS) for f in forms])
+    words = [np.frombuffer(f, "<u4", offset=8 * N_STATS).reshape(2, -1).astype(np.int64) for f in forms]
     mean, std = x.mean(axis=0), x.std(axis=0) + 1e-3
-    x = np.clip((x - mean) / std, -8, 8)
+    x = standard(x, mean, std)
     rng = np.random.default_rng(11)
     w, v = np.zeros(n + N_STATS), rng.normal(0, 0.02, (n + N_STATS, p.rank))
     gw, gv, gb, bias = np.full(n + N_STATS, 1e-2), np.full((n + N_STATS, p.rank), 1e-2), 1e-2, 0.0
     tail = np.arange(n, n + N_STATS)
     for _ in range(p.epochs):
-        for r in rng.permutation(len(rows)):
-            ix, c = rows[r]
+        for r in rng.permutation(len(words)):
+            ix, c = words[r]
             ids = np.concatenate([ix, tail])
             each = p.word_scale / max(int(c.sum()), 1)
             val = np.concatenate([c * each, x[r]])  # a word that occurs c times: c fields of one value
@@ -155,20 +164,21 @@ def fit_fm(texts: list[str | None], y: np.ndarray, p: FmParams, prior: float) ->
 
 def train(docs: DataFrame, labels: DataFrame, label: Column, keep: Column, p: FmParams = FmParams()) -> FmModel:
     """Fit on a bounded sample of the labelled rows that keep selects."""
-    rows, counts = labelled_sample(docs, labels, label, keep, p.per_class)
+    forms, y, counts = labelled_sample(docs, labels, label, keep, p.per_class, lambda t: sample_rows(t, p.bits))
     prior = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
-    y = np.array([1.0 if r["y"] == 1 else 0.0 for r in rows])
+    y = np.array([1.0 if v == 1 else 0.0 for v in y])
     if len(set(y.tolist())) < 2:
         n = (1 << p.bits) + N_STATS
         z = np.zeros(N_STATS)
         return FmModel(np.zeros(n, np.float32), np.zeros((n, p.rank), np.float32), float(np.log(prior / (1 - prior))), z, z + 1, p.bits, p.word_scale)
-    return fit_fm([r["text"] for r in rows], y, p, prior)
+    return fit_fm(forms, y, p, prior)
 
 
 def score(docs: DataFrame, model: FmModel) -> DataFrame:
     """doc_id, score for every row, over its whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(row_scores(b.column(1), sent.value))], ["doc_id", "score"])
@@ -188,6 +198,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mod: i
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, F.col("quality"), remainder("doc_id", mod) != held, p))
     at = [c.lower() for c in docs.columns].index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(row_scores(b.column(at), model.value) >= threshold))
