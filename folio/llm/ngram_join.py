@@ -6,17 +6,21 @@ one run of all; no word, no set. Two documents link if |A & B| / |A | B| >= num/
 1. Equal sets are one class. Each class has its count vector (hashes by group), a few min-hash keys, and its
    prefix: of the set in one global order, common shingles last, the first size - ceil(size num/den) + 1. Two
    linked sets share a prefix shingle.
-2. Stars: classes with a min-hash key in common are tried against the least of them, which joins nearly all of
-   a large group of near copies without pairs among its members. Provisional components follow.
-3. Cells: a prefix shingle whose classes lie in more than one provisional component is a cell. In it, the count
-   vectors are the points of an R-tree; a subtree is passed over if it lies in the query's own component, has
+2. Group cells: classes with a min-hash key in common. Their count vectors are the points of an R-tree; in order of
+   id, a class that no earlier one has found searches the tree and is tried against all that it finds. So a large
+   group of near copies gives about one pair a member. Provisional components follow.
+3. Prefix cells: classes with a prefix shingle in common, where they lie in more than one provisional component.
+   Each class searches the R-tree of the cell; a subtree is passed over if it lies in the query's own component, has
    no fitting sizes, or its summed coordinate minima with the query stay under the overlap that is needed.
    What links inside one component can't change the result, so no link between different components is lost.
-4. Pairs that pass either are verified on the whole sets, read again for the documents concerned.
+4. Pairs that pass either are verified on the whole sets, read again for the documents concerned. The set of a class
+   with many partners is sent once for each salted part of them.
+
+Only the components are worked out, which is what the result holds; links inside a component are not all counted.
 
 Common shingles are found on a hash sample of documents, as a bitmap of fixed size: it only orders the prefix
 (any one order is exact), so that frequent passages don't make large cells. Cells of over BLOCK classes are dealt
-out as pairs of blocks.
+out as blocks (2) or pairs of blocks (3), so no task holds more than two blocks of a cell.
 
 Cases: null or blank text: empty set, linked with nothing; repeated rows of one doc_id are one document; a null
 doc_id links with nothing and has a null component; an empty table gives no rows; extra columns are ignored.
@@ -34,13 +38,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .common import as_schema, id_bitmap, id_slot, persist, slim
+from .common import as_schema, id_bitmap, id_slot, persist, slim, tidy
 from .components import connected_components
 
 GROUPS = 128
 STARS = 4
 BLOCK = 1024
 FAN = 16
+SLICE = 1 << 14
+SALTS = 64
 SLOT_BITS = 23
 OPEN_BITS = 26
 SAMPLE, OFTEN = 32, 6
@@ -69,6 +75,7 @@ def batch_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
 def common_slots(docs: DataFrame, n: int) -> bytes:
     """Bitmap (1 MB) of the slots of shingles in OFTEN documents or more of a 1/SAMPLE hash sample."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in batch_sets(b.column(0), n):
@@ -96,10 +103,11 @@ def in_slots(bits: bytes, keys: np.ndarray, width: int) -> np.ndarray:
     return (np.frombuffer(bits, np.uint8)[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def keys_in_slots(lab: DataFrame, bits: bytes) -> DataFrame:
-    """(key, rep, component, size) of the prefix shingles whose slot is in the bitmap."""
-    sent = lab.sparkSession.sparkContext.broadcast(bits)
+def keys_in_slots(classes: DataFrame, column: str, bits: bytes) -> DataFrame:
+    """(key, rep, component, size) of the keys in an array column whose slot is in the bitmap."""
+    sent = classes.sparkSession.sparkContext.broadcast(bits)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column(0).flatten().to_numpy()
@@ -107,7 +115,7 @@ def keys_in_slots(lab: DataFrame, bits: bytes) -> DataFrame:
             ok = in_slots(sent.value, keys.view(np.uint64), OPEN_BITS)
             yield pa.RecordBatch.from_arrays([pa.array(keys[ok]), *(b.column(c).take(pa.array(row[ok])) for c in (1, 2, 3))], ["key", "rep", "component", "size"])
 
-    return lab.select("prefix", "rep", "component", "size").mapInArrow(run, as_schema("key long, rep long, component long, size long"))
+    return classes.select(column, "rep", "component", "size").mapInArrow(run, as_schema("key long, rep long, component long, size long"))
 
 
 def packed(counts: np.ndarray) -> bytes:
@@ -117,8 +125,8 @@ def packed(counts: np.ndarray) -> bytes:
 
 def unpacked(counts: list[bytes]) -> np.ndarray:
     """The points of packed counts, a row each."""
-    out = np.zeros((len(counts), GROUPS), np.uint32)
     width = np.fromiter(map(len, counts), np.int64, len(counts)) // GROUPS
+    out = np.zeros((len(counts), GROUPS), np.uint32 if width.max(initial=1) > 2 else np.uint16)
     for k in np.unique(width):
         at = np.flatnonzero(width == k)
         out[at] = np.frombuffer(b"".join(counts[i] for i in at), f"<u{k}").reshape(-1, GROUPS)
@@ -131,6 +139,7 @@ PROFILE = "doc_id long, row long, size long, s1 long, s2 long, stars array<long>
 def profiles(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(common_slots(docs, n))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         names = [c.split()[0] for c in PROFILE.split(", ")]
@@ -179,63 +188,95 @@ class CountRTree:
             c0, c1 = np.minimum.reduceat(c0, at), np.maximum.reduceat(c1, at)
 
     def search(self, points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, point) of all that may link and lie in different parts."""
-        q = np.repeat(np.arange(len(points)), len(self.levels[-1][0]))
-        e = np.tile(np.arange(len(self.levels[-1][0])), len(points))
-        for k in range(len(self.levels) - 1, -1, -1):
+        """(query, point) of all that may link and lie in different parts; SLICE pairs at a time, so memory is bounded."""
+        top = len(self.levels) - 1
+        n = len(self.levels[top][0])
+        step = max(SLICE // n, 1)
+        todo = [(top, np.repeat(np.arange(lo, min(lo + step, len(points))), n), np.tile(np.arange(n), min(step, len(points) - lo))) for lo in range(0, len(points), step)]
+        found_q, found_e = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while todo:
+            k, q, e = todo.pop()
             high, lo, hi, c0, c1 = self.levels[k]
             n = sizes[q]
             ok = (hi[e] * den >= n * num) & (n * den >= lo[e] * num) & ~((c0[e] == c1[e]) & (c0[e] == parts[q]))
             q, e, n = q[ok], e[ok], n[ok]
             ok = overlap_fits(np.minimum(points[q], high[e]).sum(axis=1, dtype=np.int64), n, lo[e], num, den)
             q, e = q[ok], e[ok]
-            if k:
-                below = len(self.levels[k - 1][0])
-                e = (e[:, None] * FAN + np.arange(FAN)[None, :]).ravel()
-                q = np.repeat(q, FAN)
-                q, e = q[e < below], e[e < below]
-        return q, self.order[e]
+            if not k:
+                found_q.append(q)
+                found_e.append(self.order[e])
+                continue
+            below = len(self.levels[k - 1][0])
+            e = (e[:, None] * FAN + np.arange(FAN)[None, :]).ravel()
+            q = np.repeat(q, FAN)
+            q, e = q[e < below], e[e < below]
+            todo += [(k - 1, q[at : at + SLICE], e[at : at + SLICE]) for at in range(0, len(q), SLICE)]
+        return np.concatenate(found_q), np.concatenate(found_e)
+
+
+Cell = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
+
+
+def group_pairs(rep: np.ndarray, points: np.ndarray, sizes: np.ndarray, first: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """About one pair a class: in order of rep, a class that none before has found is tried against all that its search
+    of the R-tree finds, if not found before. The block's least class is tried against the cell's least, `first`."""
+    order = np.argsort(rep, kind="stable")
+    own = np.arange(len(rep))
+    tree = CountRTree(points, sizes, own)
+    left = np.ones(len(rep), bool)
+    a, b = [], []
+    if rep[order[0]] != first:
+        a.append(np.array([first]))
+        b.append(rep[order[:1]])
+    at, step = 0, 1
+    while at < len(order):
+        ask = order[at : at + step]
+        at += step
+        ask = ask[left[ask]]
+        q, e = tree.search(points[ask], sizes[ask], own[ask], num, den)
+        by = np.argsort(q, kind="stable")
+        q, e = q[by], e[by]
+        cut = np.searchsorted(q, np.arange(len(ask) + 1))
+        for k, x in enumerate(ask):
+            if left[x]:
+                left[x] = False
+                mine = e[cut[k] : cut[k + 1]]
+                mine = mine[left[mine]]
+                left[mine] = False
+                a.append(np.full(len(mine), rep[x]))
+                b.append(rep[mine])
+        step = min(2 * step, 64)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(a or none), np.concatenate(b or none)
 
 
 def cell_pairs(rep: np.ndarray, points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, block: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a cell: within its block, or between its two blocks."""
+    """Pairs of a cell in different parts: within its block, or between its two blocks."""
     sides = np.unique(block)
     a = np.flatnonzero(block == sides[0])
     b = np.flatnonzero(block == sides[-1])
-    tree = CountRTree(points[b], sizes[b], parts[b])
-    left, right = [], []
-    for lo in range(0, len(a), 128):
-        ask = a[lo : lo + 128]
-        q, e = tree.search(points[ask], sizes[ask], parts[ask], num, den)
-        left.append(ask[q])
-        right.append(b[e])
-    x, y = np.concatenate(left), np.concatenate(right)
-    x, y = rep[x], rep[y]
+    q, e = CountRTree(points[b], sizes[b], parts[b]).search(points[a], sizes[a], parts[a], num, den)
+    x, y = rep[a[q]], rep[b[e]]
     both = np.stack([np.minimum(x, y), np.maximum(x, y)])
     both = np.unique(both[:, both[0] < both[1]], axis=1)
     return both[0], both[1]
 
 
-def cells(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows (key, b1, b2, own, rep, component, size, counts) -> pairs (a, b) that may link."""
+def cells(rows: DataFrame, work: Cell) -> DataFrame:
+    """rows (key, b1, b2, ..., counts) -> the distinct pairs (a, b) that work finds in each (key, b1, b2)."""
     dealt = rows.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
-        def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            part, size, rep, own = (t.column(c).to_numpy() for c in ("component", "size", "rep", "own"))
-            return cell_pairs(rep, unpacked(t.column("counts").to_pylist()), size, part, own, num, den)
-
         def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
             keys = [t.column(c).to_numpy() for c in ("key", "b1", "b2")]
             cut = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
-            a, b = [], []
             for lo, hi in zip([0, *cut], [*cut, len(t)], strict=True):
-                x, y = pairs(t.slice(lo, hi - lo))
-                a.append(x)
-                b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                a, b = work(t.slice(lo, hi - lo))
+                for at in range(0, len(a), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)], pa.int64()) for x in (a, b)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -254,6 +295,20 @@ def cells(rows: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, as_schema("a long, b long")).distinct()
 
 
+def opened(keys: DataFrame) -> DataFrame:
+    """Of keys (key, c classes, ends lo and hi, x: an xor of the classes' hashes) one for each set of classes, told by
+    all these, with the number of its blocks."""
+    one = keys.groupBy("c", "lo", "hi", "x").agg(F.min("key").alias("key"))
+    return persist(one.select("key", "lo", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "open")[0]
+
+
+def in_cells(classes: DataFrame, column: str, open_: DataFrame) -> DataFrame:
+    """(key, lo, blocks, own, rep, component, size): the classes of each open cell, with their block. A bitmap of fixed
+    size (8 MB) keeps most keys of no cell from the shuffle; the join settles what it lets pass."""
+    own = F.pmod(F.xxhash64("rep", F.lit(6)), F.col("blocks")).cast("int")
+    return keys_in_slots(classes, column, slot_bitmap(open_, "key", OPEN_BITS)).join(open_, "key").withColumn("own", own)
+
+
 def fine_counts(s: np.ndarray) -> bytes:
     """Counts of a set in at least half as many groups as it has members, a byte each; empty if one doesn't fit."""
     groups = 1 << max(8, (max(len(s), 2) // 2 - 1).bit_length())
@@ -271,11 +326,12 @@ def fine_fits(p: bytes, q: bytes, num: int, den: int) -> bool:
     return (num + den) * int(np.minimum(x, y).sum()) >= num * int(x.sum() + y.sum(dtype=np.int64))
 
 
-def of_pairs(pairs: DataFrame, docs: DataFrame, n: int, name: str, form: Callable[[np.ndarray], bytes]) -> tuple[DataFrame, DataFrame]:
-    """(a, x) and (b, y): the form of the set of each document in pairs, read again from its text."""
+def forms_of(pairs: DataFrame, docs: DataFrame, n: int, name: str, form: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(doc_id, form): the form of the set of each document in pairs, read again from its text."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     sent = docs.sparkSession.sparkContext.broadcast(id_bitmap(ids, "doc_id"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sent.value, np.uint8)
         for b in batches:
@@ -285,8 +341,35 @@ def of_pairs(pairs: DataFrame, docs: DataFrame, n: int, name: str, form: Callabl
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([form(s) for s in batch_sets(b.column(1), n)], pa.binary())], ["doc_id", "form"])
 
     source = docs.where("doc_id is not null").select("doc_id", "text", id_slot("doc_id").alias("slot"))
-    forms, _ = persist(source.mapInArrow(run, as_schema("doc_id long, form binary")), name)
-    return forms.toDF("a", "x"), forms.toDF("b", "y")
+    return persist(source.mapInArrow(run, as_schema("doc_id long, form binary")), name)[0]
+
+
+def meet(pairs: DataFrame, forms: DataFrame, test: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The pairs whose forms pass the test. Partners b go to a in up to SALTS parts, each with one copy of a's form, so
+    that no class with very many partners meets them in one task or travels with each of them."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b", F.lit(8)), F.lit(SALTS)).cast("int"))
+    hosts = salted.select("a", "salt").distinct().join(forms, salted["a"] == forms["doc_id"]).select("a", "salt", F.lit(None).cast("long").alias("b"), "form")
+    guests = salted.join(forms, salted["b"] == forms["doc_id"]).select("a", "salt", "b", "form")
+    dealt = hosts.unionByName(guests).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, hosts = None, []  # several forms where rows of one doc_id differ
+        for batch in batches:
+            a, b = [], []
+            form = batch.column(3)
+            for i, k in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), strict=True)):
+                if k[:2] != key:
+                    key, hosts = k[:2], []
+                own = form[i].as_py()
+                if k[2] is None:
+                    hosts += [own] * (own not in hosts)
+                elif any(test(h, own) for h in hosts):
+                    a.append(k[0])
+                    b.append(k[2])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], ["a", "b"])
+
+    return dealt.mapInArrow(run, as_schema("a long, b long"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -296,75 +379,83 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> D
     if pairs.isEmpty():
         return pairs
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [fine_fits(batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), num, den) for i in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    def linked(p: bytes, q: bytes) -> bool:
+        x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+        if min(len(x), len(y)) * den < num * max(len(x), len(y)):
+            return False
+        both = np.concatenate([x, y])
+        both.sort(kind="stable")
+        same = int((both[1:] == both[:-1]).sum())
+        return den * same >= num * (len(both) - same)
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))
-                if min(len(x), len(y)) * den >= num * max(len(x), len(y)):
-                    both = np.concatenate([x, y])
-                    both.sort(kind="stable")
-                    same = int((both[1:] == both[:-1]).sum())
-                    ok[i] = den * same >= num * (len(both) - same)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-    for name, form, test in (("fine", fine_counts, bound), ("sets", np.ndarray.tobytes, check)):
-        one, two = of_pairs(pairs, docs, n, name, form)
-        passed = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(test, as_schema("a long, b long"))
-        pairs, _ = persist(passed, f"{name}-passed")
-    return pairs
+    pairs, _ = persist(meet(pairs, forms_of(pairs, docs, n, "fine", fine_counts), lambda p, q: fine_fits(p, q, num, den)), "fine-passed")
+    return persist(meet(pairs, forms_of(pairs, docs, n, "sets", np.ndarray.tobytes), linked), "linked")[0]
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) for every row."""
+    prof, found = components_by_set(docs, n, num, den)
+    sets = prof.where("size > 0 and doc_id is not null").join(found, ["s1", "s2", "size"], "left").select("doc_id", "size", "component")
+    alone = prof.where("size = 0 or doc_id is null").select("doc_id", "size", F.col("doc_id").alias("component"))  # null keys would meet in one task
+    return sets.unionByName(alone).select("doc_id", F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def components_by_set(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' profiles, and (s1, s2, size, component) of each class of equal sets."""
     docs = slim(docs, "doc_id", "text")
     prof, _ = persist(profiles(docs, n, num, den), "profiles")
     some = prof.where("size > 0 and doc_id is not null")
     least = some.groupBy("s1", "s2", "size").agg(F.min(F.struct("doc_id", "row")).alias("m"))
     cls, _ = persist(least.select("s1", "s2", "size", F.col("m.doc_id").alias("rep"), F.col("m.row").alias("row")), "classes")
     reps, _ = persist(some.join(cls.select("row"), "row", "left_semi").select(F.col("doc_id").alias("rep"), "size", "stars", "prefix", "counts"), "reps")
-    star = reps.select(F.posexplode("stars").alias("no", "key"), "rep", "size")
-    hub = star.groupBy("no", "key").agg(F.min(F.struct("rep", "size")).alias("m"), F.count("*").alias("c")).where("c > 1").select("no", "key", F.col("m.rep").alias("hub"), F.col("m.size").alias("hub_size"))
-    sizes_fit = (F.least("size", "hub_size") * den >= F.greatest("size", "hub_size") * num) & (F.col("rep") > F.col("hub"))
-    tries = star.join(hub, ["no", "key"]).where(sizes_fit).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = verified(tries, docs, n, num, den)
+
+    def columns(t: pa.Table) -> list[np.ndarray]:
+        return [t.column("rep").to_numpy(), unpacked(t.column("counts").to_pylist()), t.column("size").to_numpy()]
+
+    def in_group(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return group_pairs(*columns(t), int(t.column("lo")[0].as_py()), num, den)
+
+    def in_prefix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return cell_pairs(*columns(t), *(t.column(c).to_numpy() for c in ("component", "own")), num, den)
+
+    classes = F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x")
+    counts = reps.select("rep", "counts")
+    keys = reps.select(F.explode(F.array_distinct("stars")).alias("key"), "rep").groupBy("key").agg(*classes, F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+    hit = in_cells(reps.withColumn("component", F.col("rep")), "stars", opened(keys.where("c > 1")))
+    hit = hit.select("key", F.col("own").alias("b1"), F.col("own").alias("b2"), "lo", "rep", "size").join(counts, "rep")
+    links = verified(cells(hit, in_group), docs, n, num, den)
+
     first = connected_components(links)
-    lab = reps.join(first, reps["rep"] == first["node"], "left").select("rep", "size", "counts", "prefix", F.coalesce("component", "rep").alias("component"))
+    lab = reps.join(first, reps["rep"] == first["node"], "left").select("rep", "size", "prefix", F.coalesce("component", "rep").alias("component"))
     keys = lab.select(F.explode("prefix").alias("key"), "rep", "component")
-    # keys of the very same classes make one cell: told by count, ends and an xor of hashes
-    same = F.bit_xor(F.xxhash64("rep")).alias("x")
-    open_ = keys.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), same).where("lo < hi")
-    open_ = open_.groupBy("c", "lo", "hi", "x").agg(F.min("key").alias("key"))
-    open_, _ = persist(open_.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "open")
-    mine = F.pmod(F.xxhash64("rep", F.lit(6)), F.col("blocks")).cast("int")
-    # a bitmap of fixed size (8 MB) keeps most keys of no cell from the shuffle; the join settles what it lets pass
-    some_keys = keys_in_slots(lab, slot_bitmap(open_, "key", OPEN_BITS))
-    hit = some_keys.join(open_, "key").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = keys.groupBy("key").agg(*classes, F.min("component").alias("lo"), F.max("component").alias("hi"))
+    hit = in_cells(lab, "prefix", opened(keys.where("lo < hi"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     hit = hit.select("key", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "rep", "component", "size")
     # a class that has a partner of fitting size in its cell has one beside it in order of size
     near = Window.partitionBy("key", "b1", "b2").orderBy("size")
     below, above = F.lag("size").over(near), F.lead("size").over(near)
     fits = (below * den >= F.col("size") * num) | (F.col("size") * den >= above * num)
-    hit = hit.withColumn("fits", fits).where("fits").drop("fits").join(lab.select("rep", "counts"), "rep")
-    more = verified(cells(hit, num, den), docs, n, num, den)
+    hit = hit.withColumn("fits", fits).where("fits").drop("fits").join(counts, "rep")
+    more = verified(cells(hit, in_prefix), docs, n, num, den)
+
     label = connected_components(links.unionByName(more))
     found = cls.join(label, cls["rep"] == label["node"], "left").select("s1", "s2", "size", F.coalesce("component", "rep").alias("component"))
-    out = prof.select("doc_id", "size", "s1", "s2").join(found, ["s1", "s2", "size"], "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return prof, found
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs, all columns, with one document of each group left: that of the smallest doc_id, once.
 
-    Rows without a doc_id stay.
+    Cases: of rows with that doc_id and different texts, the one of the least text by hash stays, and of equal rows one;
+    rows without a doc_id stay; null and blank texts are in no group and stay, once for each doc_id; an empty table
+    gives no rows; a column of any name is kept.
     """
-    kept = jaccard_components(docs, n, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    name = next(c for c in docs.columns if c.lower() == "doc_id")
-    left = docs.join(kept.withColumnRenamed("doc_id", "__kept"), docs[name].cast("long") == F.col("__kept"), "left_semi")
-    once = left.withColumn("__row", F.row_number().over(Window.partitionBy(name).orderBy(name))).where("__row = 1").drop("__row")
-    return once.unionByName(docs.where(F.col(name).isNull()))
+    kept = jaccard_components(docs, n, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    own = [f"c{i}" for i in range(len(docs.columns))]  # names that can't clash
+    lower = [c.lower() for c in docs.columns]
+    ident, text = (F.col(own[lower.index(c)]) for c in ("doc_id", "text"))
+    rows = docs.toDF(*own)
+    left = rows.join(kept, ident.cast("long") == F.col("kept"), "left_semi")
+    rest = [F.xxhash64(c) for c, f in zip(own, docs.schema, strict=True) if "map<" not in f.dataType.simpleString()]
+    once = left.withColumn("nth", F.row_number().over(Window.partitionBy(ident).orderBy(F.xxhash64(text), *rest))).where("nth = 1").drop("nth")
+    return once.unionByName(rows.where(ident.isNull())).toDF(*docs.columns)
