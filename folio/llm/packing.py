@@ -2,9 +2,12 @@
 
 Documents become ids plus a closing id 0; only longer ones are cut, the first piece being the shorter one.
 Bins are solved on the histogram of piece lengths, which has at most `capacity` entries however large the
-corpus, so the driver's work is bounded: the largest length left is completed with an undominated filling
-(branch and bound, pruned by waste; best-fit decreasing gives the incumbent), and a pattern is applied as often
-as its counts allow. Pieces then find their places by rank within their length: rank = pieces of that length in
+corpus, so the driver's work is bounded. Bin completion, branch and bound: a node completes the largest length left
+with an undominated filling, least waste first, and applies it as often as the counts and the waste that is left to
+beat the incumbent allow. Best-fit decreasing is the first incumbent. The search is anytime: it ends when a packing
+meets the lower bound, or after `node_limit` nodes or `step_limit` steps of enumeration (documented parameters), with
+the best packing known.
+Pieces then find their places by rank within their length: rank = pieces of that length in
 earlier partitions + running number, so no length, however common, meets in one task.
 
 Cases: null text counts as empty and gives one piece of the closing id; repeated rows give repeated pieces with
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_schema, persist, slim
+from .common import as_schema, persist, slim, tidy
 
 CAPACITY = 2048
 
@@ -37,7 +40,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def encoder(json_path: str):
     """A function from texts to lists of ids, equal to `tokenizers` on json_path with add_special_tokens=False.
 
@@ -90,6 +93,7 @@ def token_pieces(docs: DataFrame, json_path: str | None = None, capacity: int =
     """Pieces with their ids (little-endian unsigned 32 bits); part and nth number equal lengths within a task."""
     path = json_path or tokenizer_path()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -160,107 +164,124 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
     return out
 
 
-def fillings(sizes: list[int], avail: dict[int, int], room: int, limit: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of room, least waste first, at most `limit` after as many as 40 limit nodes.
+def reachable(sizes: np.ndarray, capacity: int) -> list[int]:
+    """For each length the sums, as a set of bits, that lengths up to it can make, each any number of times."""
+    bits, out, full = 1, [], (1 << (capacity + 1)) - 1
+    have = set(sizes.tolist())
+    for s in range(capacity + 1):
+        if s in have and s:
+            step = s
+            while step <= capacity:
+                bits |= bits << step & full
+                step *= 2
+        out.append(bits)
+    return out
 
-    A filling is dominated if another holds its items grouped under single larger ones; taking sizes from
-    large to small and never leaving out an item that still fits visits the dominating ones first.
-    """
-    if not sizes or sizes[0] > room:
-        return [()]
-    found: list[tuple[int, tuple[int, ...]]] = []
-    seen: set[tuple[int, ...]] = set()
-    nodes = 0
-    if avail.get(room, 0):
-        return [(room,)]  # one item that fills the room dominates all others
-
-    def grow(at: int, room: int, taken: list[int], used: dict[int, int]) -> bool:
-        nonlocal nodes
-        nodes += 1
-        if nodes > 40 * limit:
-            return True
-        i = min(at, bisect.bisect_right(sizes, room) - 1)
-        closed = True
-        while i >= 0:
-            s = sizes[i]
-            if used.get(s, 0) < avail[s]:
-                closed = False
-                used[s] = used.get(s, 0) + 1
-                taken.append(s)
-                stop = grow(i, room - s, taken, used)
-                taken.pop()
-                used[s] -= 1
-                if stop:
-                    return True
-            i -= 1
-            if len(found) and found[0][0] == 0:
-                return True
-        if closed:
-            key = tuple(taken)
-            if key not in seen:
-                seen.add(key)
-                found.append((room, key))
-                found.sort()
-                del found[limit:]
-        return False
-
-    grow(len(sizes) - 1, room, [], {})
-    return [f for _, f in found] or [()]
-
-
-def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, width: int = 3, node_limit: int = 20000) -> list[Pattern]:
-    """Patterns that hold all counts in as few bins as the search finds within node_limit nodes.
-
-    Depth first; a node completes the largest length left with each undominated filling. The waste so far plus
-    the volume left bounds the bins from below; a branch that can't beat the incumbent is pruned. The search
-    ends as soon as the incumbent meets the lower bound.
+
+def dominated(taken: list[tuple[int, int]], spare: int, room: int) -> bool:
+    """Whether a length left over (spare, a set of bits) could take the place of some items of a filling, or of none:
+    of two or more that sum to it, or of any whose sum is less by the waste, room, at most."""
+    one, two = 1, 0  # sums of any items, of two items or more
+    for s, k in taken:
+        for _ in range(k):
+            two |= two << s | (one ^ 1) << s
+            one |= one << s
+    wide, width = one << 1, 1  # the sums, each plus 1 to width
+    while width < room:
+        step = min(width, room - width)
+        wide |= wide << step
+        width += step
+    return bool(two & spare or (room and wide & spare))
+
+
+def fillings(left: np.ndarray, room: int, most: int, reach: list[int], budget: list[int]) -> Iterator[tuple[tuple[int, int], ...]]:
+    """The undominated fillings ((length, times), ...) of room by the lengths left with a waste of at most `most`, by
+    bands of ever more waste. budget[0] steps are left for all enumeration; without, the greedy filling alone comes."""
+    if room and left[room]:
+        yield ((room, 1),)  # one item that fills the room dominates all others
+        return
+    sizes = np.flatnonzero(left[: room + 1]).tolist()
+    spare = sum(1 << s for s in sizes)
+
+    def grow(i: int, free: int, low: int, high: int, taken: list[tuple[int, int]]) -> Iterator[tuple[tuple[int, int], ...]]:
+        """Fillings whose waste is from low to high, with lengths up to sizes[i]."""
+        budget[0] -= 1
+        if free < low:
+            return
+        if free <= high and not dominated(taken, spare & ~sum(1 << s for s, k in taken if left[s] <= k), free):
+            yield tuple(taken)
+        for k in range(min(i, bisect.bisect_right(sizes, free) - 1), -1, -1):
+            s = sizes[k]
+            if budget[0] < 0 or not reach[s] >> max(free - high, 0) & (1 << (min(high, free) - low + 1)) - 1:
+                return  # no sum of lengths up to this one leaves a waste in the band
+            for times in range(min(int(left[s]), free // s), 0, -1):
+                yield from grow(k - 1, free - times * s, low, high, [*taken, (s, times)])
+
+    low, none = 0, True
+    while low <= min(room, most) and budget[0] >= 0:
+        high = min(4 * low, room, most)
+        for filling in grow(len(sizes) - 1, room, low, high, []):
+            none = False
+            yield filling
+        low = high + 1
+    if none and budget[0] < 0:
+        greedy = []
+        for s in reversed(sizes):
+            if times := min(int(left[s]), room // s):
+                greedy.append((s, times))
+                room -= s * times
+        yield tuple(greedy)
+
+
+def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, node_limit: int = 20000, step_limit: int = 200000, report: dict | None = None) -> list[Pattern]:
+    """Patterns that hold all counts in as few bins as the search finds within its limits.
+
+    Depth first; the bins that the volume and the waste so far need bound a branch from below. A packing that the
+    search completes is taken if it needs no more bins than best-fit. report, if given, gets what the search did.
     """
     counts = counts.astype(np.int64)
     goal = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
-    best_bins = sum(p.times for p in best)
+    best_bins = at_first = sum(p.times for p in best)
     volume = int((np.arange(len(counts)) * counts).sum())
-    if best_bins <= goal or not counts.any():
-        return best
-    nodes = 0
-
-    def choices(left: np.ndarray) -> tuple[int, list[tuple[int, ...]]]:
-        top = int(np.flatnonzero(left)[-1])
-        left[top] -= 1
-        ok = np.flatnonzero(left[: capacity - top + 1])
-        fills = fillings([int(s) for s in ok], {int(s): int(left[s]) for s in ok}, capacity - top, width)
-        left[top] += 1
-        return top, fills
-
-    # a frame: the histogram left, the patterns so far, the bins, the waste and the choices left
-    stack = [[counts.copy(), (), 0, 0, None]]
-    while stack and nodes < node_limit and best_bins > goal:
-        frame = stack[-1]
-        left, done, bins, waste, todo = frame
+    reach = reachable(np.flatnonzero(counts), capacity)
+    nodes, searched, budget = 0, False, [step_limit]
+    # a frame: the histogram left, the patterns so far, the bins, the waste, the largest length and its fillings left
+    stack: list[list] = [[counts.copy(), (), 0, 0, 0, None]]
+    while stack and nodes < node_limit and counts.any() and (best_bins > goal or not searched):
+        left, done, bins, waste, top, todo = stack[-1]
+        # waste that a packing of fewer bins (at first: of no more) than the incumbent can still have
+        slack = (best_bins - searched) * capacity - volume - waste
         if todo is None:
             nodes += 1
             if not left.any():
-                if bins < best_bins:
-                    best, best_bins = list(_unroll(done)), bins
+                best, best_bins, searched = _unroll(done), bins, True
                 stack.pop()
                 continue
-            top, fills = choices(left)
-            frame[4] = todo = [(top, f) for f in fills]
-        if not todo:
+            top = int(np.flatnonzero(left)[-1])
+            rest = left.copy()
+            rest[top] -= 1
+            todo = fillings(rest, capacity - top, slack, reach, budget)
+            stack[-1][4:] = [top, todo]
+        fill = next(todo, None)
+        if fill is None:
             stack.pop()
             continue
-        top, fill = todo.pop(0)
-        used: dict[int, int] = {top: 1}
-        for s in fill:
-            used[s] = used.get(s, 0) + 1
+        used = dict(fill)
+        used[top] = used.get(top, 0) + 1
+        lost = capacity - sum(s * k for s, k in used.items())
         times = min(int(left[s]) // k for s, k in used.items())
-        lost = (capacity - top - sum(fill)) * times
-        if math.ceil((volume + waste + lost) / capacity) >= best_bins:
-            continue  # this much waste can't beat the incumbent
+        if lost:
+            times = min(times, slack // lost)
+        if times <= 0:
+            continue
         after = left.copy()
         for s, k in used.items():
             after[s] -= k * times
-        stack.append([after, (done, Pattern((top, *fill), times)), bins + times, waste + lost, None])
+        lengths = tuple(s for s in sorted(used, reverse=True) for _ in range(used[s]))
+        stack.append([after, (done, Pattern(lengths, times)), bins + times, waste + lost * times, 0, None])
+    if report is not None:
+        report |= {"lower_bound": goal, "best_fit": at_first, "bins": best_bins, "nodes": nodes, "steps": step_limit - budget[0], "by_search": searched}
     return best
 
 
@@ -321,7 +342,6 @@ def packed_pieces(docs: DataFrame, json_path: str | None = None, capacity: int =
 def sequences(docs: DataFrame, json_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """sequence_id, ids: the packed sequences themselves, ids as little-endian unsigned 32 bits."""
     table, _ = persist(token_pieces(docs, json_path, capacity), "pieces", "zstd")
-    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     items = F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("items")  # a sequence has capacity ids at most
     joined = F.expr("aggregate(items, X'', (a, x) -> concat(a, x.ids))").alias("ids")
     return place(table, capacity).groupBy("sequence_id").agg(items).select("sequence_id", joined)
