@@ -10,12 +10,18 @@ one for each linked vector that passed, which carry local components; these are
 
 Equal vectors are one class with a multiplicity, so a vector that occurs very often is one row.
 
-On isotropic vectors of many dimensions no pivot scheme excludes much: the replication comes near the number of
-pivots and the join's products near all pairs. It is then a blocked matrix product, whose cost is quadratic.
+The number of pivots grows with the vectors, to MOST at the most. A bounded sample tells how far each number would
+replicate; the one with the least work is taken, which changes the cost but never the result. On isotropic vectors of
+many dimensions no pivot scheme excludes much: the replication comes near the number of pivots and the join's products
+near all pairs. It is then a blocked matrix product, whose cost is quadratic.
+
+Vectors are scaled by their largest component before their norm is taken, so neither very large nor very small ones
+over- or underflow. A cosine is the product of two unit vectors in double precision; what lies within rounding
+(some 1e-15) of t may fall on either side.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of
-different dimension don't link; repeated rows of one vec_id are counted as vectors of their own; ties of cosine at
-exactly t link; an empty table gives no rows; extra columns are ignored.
+different dimension don't link; repeated rows of one vec_id are counted as vectors of their own; a null vec_id links
+with nothing; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,15 +36,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_schema, persist
+from .common import as_schema, persist, small_batches, tidy
 from .components import connected_components
 
 BLOCK = 4096
 SLAB = 512
+#: most pivots (so 1 MB of them for 128 dimensions), and vectors of the sample that the number is chosen by
+MOST, SAMPLE = 1024, 4096
 
 
 def unit_rows(raw: list[bytes], dtype: str) -> np.ndarray:
     v = np.frombuffer(b"".join(raw), dtype=dtype).reshape(len(raw), -1).astype(np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
@@ -66,6 +75,22 @@ def cells_of(u: np.ndarray, pivots: np.ndarray, eps: float) -> tuple[np.ndarray,
     return home, ball & (gap <= eps * apart + 1e-9)
 
 
+def pivots_for(sample: np.ndarray, total: int, eps: float, most: int) -> np.ndarray:
+    """The pivots, of 1, 4, 16, ... as far as the cells keep BLOCK vectors each, with the least work: cells a vector is
+    seen in, times the blocks of a cell."""
+    all_ = spread(sample, min(most, max(total // BLOCK, 1)))
+    best, least, count = all_[:1], math.inf, 1
+    while True:
+        some = all_[:count]
+        _, seen = cells_of(sample, some, eps)
+        work = seen.sum() / len(sample) * math.ceil(total / len(some) / BLOCK)
+        if work < least:
+            best, least = some, work
+        if count >= len(all_):
+            return best
+        count = min(4 * count, len(all_))
+
+
 class Block:
     """The home rows of a block, their links so far, and their local components."""
 
@@ -73,9 +98,9 @@ class Block:
         self.rep, self.u, self.least = rep, u, least
         self.links = np.zeros(len(rep), np.int64)
         self.label = np.arange(len(rep))
-        self.guests: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def meet(self, rep: np.ndarray, count: np.ndarray, u: np.ndarray) -> None:
+    def meet(self, rep: np.ndarray, count: np.ndarray, u: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Takes guests in; (guest, a home row it links with) of those that link."""
         for lo in range(0, len(rep), SLAB):
             hit = (self.u @ u[lo : lo + SLAB].T) >= self.least
             self.links += hit @ count[lo : lo + SLAB]
@@ -89,30 +114,27 @@ class Block:
                 own = np.unique(self.label[hit[:, c]])
                 if len(own) > 1:
                     self.label[np.isin(self.label, own)] = own[0]
-            self.guests.append((rep[lo : lo + SLAB][linked], hit.argmax(axis=0)))
+            yield rep[lo : lo + SLAB][linked], self.rep[hit.argmax(axis=0)]
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(vector, links or -1 for a guest, a member of its local component)."""
-        root = self.rep[self.label]
-        a = [self.rep, *(g for g, _ in self.guests)]
-        b = [root, *(root[k] for _, k in self.guests)]
-        n = [self.links, *(np.full(len(g), -1, np.int64) for g, _ in self.guests)]
-        return np.concatenate(a), np.concatenate(n), np.concatenate(b)
+        """(vector, links, a member of its local component) of the home rows."""
+        return self.rep, self.links, self.rep[self.label]
 
 
 def range_join(classes: DataFrame, dtype: str, threshold: float, pivots: int | None = None) -> DataFrame:
-    """classes (rep, n, dim, raw) -> rows (a, links, b): see Block.rows."""
+    """classes (rep, n, dim, raw) -> rows (a, links, b): see Block.rows; links is -1 for a guest."""
     spark = classes.sparkSession
     total = classes.count()
-    want = pivots or min(max(total // BLOCK, 2), 64)
     eps = math.sqrt(max(0.0, 2 - 2 * threshold))
     dims = [r["dim"] for r in classes.select("dim").distinct().limit(1 << 16).collect()]
     chosen: dict[int, np.ndarray] = {}
     for d in dims:  # usually one
-        got = classes.where(F.col("dim") == d).orderBy(F.xxhash64("rep"), "rep").limit(want * 8).select("raw").collect()
-        chosen[d] = spread(unit_rows([bytes(r["raw"]) for r in got], dtype), want)
-    sent = spark.sparkContext.broadcast(chosen)  # at most 64 vectors for each dimension
+        got = classes.where(F.col("dim") == d).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("raw").collect()
+        sample = unit_rows([bytes(r["raw"]) for r in got], dtype)
+        chosen[d] = spread(sample, pivots) if pivots else pivots_for(sample, total, eps, MOST)
+    sent = spark.sparkContext.broadcast(chosen)  # at most MOST vectors for each dimension
 
+    @tidy
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dim = b.column(2).to_numpy()
@@ -126,12 +148,13 @@ def range_join(classes: DataFrame, dtype: str, threshold: float, pivots: int | N
     spread_rows, _ = persist(classes.select("rep", "n", "dim", "raw").mapInArrow(assign, as_schema("rep long, n long, dim int, raw binary, cell int, home boolean")), "cells")
     size = spread_rows.groupBy("dim", "cell").agg(F.count_if("home").alias("homes"))
     size = size.where("homes > 0").withColumn("blocks", F.ceil(F.col("homes") / BLOCK).cast("int"))
-    rows = spread_rows.join(F.broadcast(size.select("dim", "cell", "blocks")), ["dim", "cell"])  # at most 64 cells
+    rows = spread_rows.join(F.broadcast(size.select("dim", "cell", "blocks")), ["dim", "cell"])  # at most MOST cells a dimension
     own = F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int")
     guest = rows.select("dim", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "rep", "n", "raw")
     host = rows.where("home").select("dim", "cell", own.alias("block"), F.lit(0).alias("role"), "rep", "n", "raw")
     dealt = host.unionByName(guest).repartition("dim", "cell", "block").sortWithinPartitions("dim", "cell", "block", "role")
 
+    @tidy
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block, hosts = None, None, []
 
@@ -155,7 +178,8 @@ def range_join(classes: DataFrame, dtype: str, threshold: float, pivots: int | N
                 if block is None and hosts:
                     block = Block(np.concatenate([h[0] for h in hosts]), np.concatenate([h[1] for h in hosts]), threshold)
                 if block is not None:
-                    block.meet(rep, n, u)
+                    for guest, home in block.meet(rep, n, u):
+                        yield pa.RecordBatch.from_arrays([pa.array(guest), pa.array(np.full(len(guest), -1)), pa.array(home)], ["a", "links", "b"])
         yield from close()
 
     return dealt.mapInArrow(join, as_schema("a long, links long, b long"))
@@ -169,19 +193,24 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.95, pivots: int | None =
     dtype = "<f4" if single else "<f8"
     narrow = vectors.select(F.col(f"`{have['vec_id']}`").cast("long").alias("vec_id"), F.col(f"`{have['embedding']}`").cast(f"array<{'float' if single else 'double'}>").alias("e"))
 
+    small_batches(vectors.sparkSession)
+
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for v in b.column(1).to_pylist():
-                raw = None
-                if v and None not in v:
-                    x = np.array(v, dtype=dtype)
-                    with np.errstate(over="ignore"):
-                        norm = float((x.astype(np.float64) ** 2).sum())
-                    if 0 < norm < math.inf:
-                        raw = x.tobytes()
-                out.append((raw, hashlib.blake2b(raw, digest_size=16).digest() if raw else None, len(v) if raw else 0))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.int32())], ["vec_id", "raw", "cls", "dim"])
+            raws: list[bytes | None] = [None] * b.num_rows
+            e = b.column(1)
+            flat = e.flatten()
+            x, bad = flat.fill_null(0).to_numpy().astype(dtype), flat.is_null().to_numpy(zero_copy_only=False) | ~np.isfinite(flat.fill_null(0).to_numpy())
+            size = e.value_lengths().fill_null(0).to_numpy()
+            at = np.concatenate([[0], np.cumsum(size)])
+            x = x + x.dtype.type(0)  # -0 as 0, so that equal vectors have equal bytes
+            no, some = np.concatenate([[0], np.cumsum(bad)]), np.concatenate([[0], np.cumsum(x != 0)])
+            for r in np.flatnonzero((no[at[1:]] == no[at[:-1]]) & (some[at[1:]] > some[at[:-1]])):
+                raws[r] = x[at[r] : at[r + 1]].tobytes()
+            cls = [hashlib.blake2b(r, digest_size=16).digest() if r else None for r in raws]
+            dim = np.where([r is None for r in raws], 0, size).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raws, pa.binary()), pa.array(cls, pa.binary()), pa.array(dim)], ["vec_id", "raw", "cls", "dim"])
 
     packed, _ = persist(narrow.mapInArrow(pack, as_schema("vec_id long, raw binary, cls binary, dim int")), "vectors")
     good = packed.where("raw is not null and vec_id is not null")
@@ -190,6 +219,7 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.95, pivots: int | None =
     links = joined.where("links >= 0").select(F.col("a").alias("rep"), (F.col("links") - 1).alias("n_links"))
     label = connected_components(joined.select("a", "b")).withColumnRenamed("node", "rep")
     found = classes.select("cls", "rep").join(links, "rep", "left").join(label, "rep", "left").select("cls", "n_links", F.coalesce("component", "rep").alias("component"))
-    own = F.when(F.col("vec_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "vec_id")).cast("long")
-    out = packed.select("vec_id", "cls").join(found, "cls", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"))
+    out = good.select("vec_id", "cls").join(found, "cls", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    rest = packed.where("raw is null or vec_id is null")  # null keys would meet in one task
+    out = out.unionByName(rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
