@@ -1,6 +1,8 @@
 """Document fingerprints by closed syncmers, in DataFrame functions only.
 
-A text is a sequence of tokens: runs without ASCII white space, longer ones in pieces of eight characters. Inner
+A text is a sequence of tokens: runs without ASCII white space of up to 32 characters; a longer run is cut after each
+vowel of a, e, i, o, u, digit, or letter without case (as of scripts that don't part words), or after 32 characters
+where none comes, so an edit moves the cuts beside it only. Inner
 substrings (s-mers) are runs of two tokens, by hash; a k-mer of six tokens has five of them, and is chosen if the
 least lies at its first or last place. Whether a k-mer is chosen depends on nothing but itself, so an edit
 changes only the anchors that touch it. Of four k-mers in a row one is chosen; texts of fewer than eight s-mers may
@@ -27,8 +29,13 @@ GROUP, GROUPS = 32, 32
 LEAST = -(1 << 63)
 
 
+_SOLID = "[^ \\t\\n\\x0B\\f\\r]"
+_WHOLE = f"(?<!{_SOLID}){_SOLID}{{1,32}}+(?!{_SOLID})"
+_PIECE = f"{_SOLID}{{0,31}}?[aeiouAEIOU0-9\\p{{Lo}}]|{_SOLID}{{1,32}}"
+
+
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit("[^ \\t\\n\\x0B\\f\\r]{1,8}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(f"{_WHOLE}|{_PIECE}"), F.lit(0))
 
 
 def with_anchors(df: DataFrame, text: str, out: str, places: bool = False) -> DataFrame:
