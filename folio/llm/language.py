@@ -20,10 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import kernels as K
-from .common import as_schema, remainder, slim
+from .common import as_schema, remainder, slim, tidy
 
 WINDOW = 64
 SLAB = 4096
@@ -163,9 +162,11 @@ def sample(docs: DataFrame, c: GruParams, mod: int, held: int) -> tuple[list[str
     """Languages and training windows of a bounded sample: per_language texts of each, per_text windows of a text."""
     d = slim(docs, "doc_id", "text", "lang")
     known = d.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", mod) != held))
-    ranked = known.select("doc_id", "lang").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id")))
-    ids = ranked.where(F.col("r") <= c.per_language).select("doc_id").distinct()  # bounded for each language
-    ids = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in ids.collect()], "doc_id long")
+    ids: set[int] = set()
+    for r in known.select("lang").distinct().collect():  # for each language, as many ids as the bound, by a distributed top
+        top = known.where(F.col("lang") == r["lang"]).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").limit(c.per_language)
+        ids |= {x["doc_id"] for x in top.collect()}
+    ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(ids)], "doc_id long")
     n = F.length("text")
     at = F.transform(F.sequence(F.lit(0), F.lit(c.per_text - 1)), lambda k: F.encode(F.substring(F.col("text"), (n * k / c.per_text).cast("int") + 1, F.lit(WINDOW)), "utf-8"))
     rows = known.join(F.broadcast(ids), "doc_id").select("doc_id", "lang", F.array_distinct(at).alias("w")).collect()
@@ -186,6 +187,7 @@ def language_id(docs: DataFrame, mod: int = 3, held: int = 1, c: GruParams = Gru
     p = fit(x, ok, y, len(langs), c) if langs else {}
     sent = spark.sparkContext.broadcast((langs, p))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, p = sent.value
         for b in batches:
