@@ -1,12 +1,18 @@
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
-from folio.llm import components, embedding_dedup, fingerprints, language, mixing, ngram_join, packing, pii, quality, sharding, toxicity
+from folio.llm import components, embedding_dedup, fingerprints, kernels, language, mixing, ngram_join, packing, pii, quality, sharding, toxicity
 
+TABLES = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double"
 
 
@@ -62,6 +68,72 @@ def test_bin_completion_beats_or_meets_best_fit():
         assert packing.lower_bound(counts, 20) <= sum(p.times for p in found) <= sum(p.times for p in packing.best_fit(counts, 20))
 
 
+def fewest_bins(items, capacity):
+    best = [len(items)]
+
+    def go(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(rooms)
+            return
+        for r in {r for r in rooms if r >= items[i]}:
+            k = rooms.index(r)
+            go(i + 1, [*rooms[:k], r - items[i], *rooms[k + 1 :]])
+        go(i + 1, [*rooms, capacity - items[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_bin_completion_is_optimal_on_small_cases():
+    rng, fewer = np.random.default_rng(0), 0
+    for _ in range(120):
+        capacity = int(rng.integers(20, 60))
+        items = sorted(rng.integers(2, capacity * 5 // 6, rng.integers(6, 12)).tolist(), reverse=True)
+        report = {}
+        found = packing.bin_completion(np.bincount(items, minlength=capacity + 1), capacity, report=report)
+        assert sorted(s for p in found for _ in range(p.times) for s in p.lengths) == sorted(items)
+        assert sum(p.times for p in found) == fewest_bins(items, capacity) and report["by_search"]
+        fewer += report["bins"] < report["best_fit"]
+    assert fewer > 0
+
+
+def test_bin_completion_beats_best_fit_on_many_lengths():
+    lengths = np.minimum(np.random.default_rng(0).lognormal(6, 1.2, 20000).astype(int) + 1, 2048)
+    report = {}
+    packing.bin_completion(np.bincount(lengths, minlength=2049), report=report)
+    assert report["bins"] == report["lower_bound"] <= report["best_fit"] and report["by_search"]
+    small = np.zeros(2049, int)
+    small[1], small[1500] = 3000, 3
+    packing.bin_completion(small, report=report)
+    assert report["bins"] == 4
+
+
+@pytest.mark.skipif(not Path(TABLES).exists(), reason="no tables")
+def test_quick_encoder_equals_tokenizers_on_the_documents_table():
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    some = [t for t in pq.read_table(f"{TABLES}/documents.parquet", columns=["text"])["text"].to_pylist() if t]
+    plain = Tokenizer.from_file(packing.tokenizer_path()).encode_batch(some, add_special_tokens=False)
+    assert all(a.tolist() == b.ids for a, b in zip(packing.encoder(packing.tokenizer_path())(some), plain, strict=True))
+
+
+def test_near_dedup_in_blocks_and_at_extreme_scales(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(200, 6))
+    v = np.concatenate([v, v[:80] + 0.03 * rng.normal(size=(80, 6)), [v[0] * 1e200, v[0] * 1e200, v[1] * 1e-200, v[2] * 1e-310]])
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(900, [float("inf")] * 6), (None, [1.0] * 6), (901, [])]
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    u = v / np.abs(v).max(axis=1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    hit = u @ u.T >= 0.95
+    np.fill_diagonal(hit, True)
+    assert all(got[i] == hit[i].sum() - 1 for i in range(len(v))) and got[900] == got[901] == got[None] == 0
+
+
 def test_near_dedup_is_exact(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(60, 8))
@@ -105,6 +177,54 @@ def test_ngram_join_is_exact(docs):
     assert kept.columns == docs.columns and kept.where("doc_id = 3").count() == 1
 
 
+@pytest.mark.parametrize("block", [1024, 6])
+def test_ngram_join_is_exact_on_families(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = np.random.default_rng(1)
+    vocab = [f"w{i}" for i in range(200)]
+    base = [list(rng.choice(vocab, rng.integers(5, 60))) for _ in range(12)]
+    made = []
+    for _ in range(150):
+        w = list(base[rng.integers(0, 12)])
+        for _ in range(rng.integers(0, 4)):
+            w[rng.integers(0, len(w))] = vocab[rng.integers(0, 200)]
+        made.append(" ".join(w))
+    rows = list(zip((rng.permutation(len(made)) * 3 + 1).tolist(), made, strict=True))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(max(len(t.split()) - 4, 1))} for d, t in rows}
+    comp = {d: d for d in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+                    changed = True
+    assert got == comp
+
+
+def test_group_cells_give_about_one_pair_a_member():
+    points = np.full((1000, ngram_join.GROUPS), 3, np.uint16)
+    rep = np.arange(1000) + 5
+    a, b = ngram_join.group_pairs(rep, points, points.sum(axis=1, dtype=np.int64), 5, 80, 100)
+    assert len(a) == 999 and set(a) == {5} and set(b) == set(range(6, 1005))
+
+
+def test_keep_one_and_sanitise_with_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    names = "doc_id long, text string, __row long, __terms string, __maybe string, nth int, kept string, row int, maybe string, n_chars int"
+    rows = [(1, text, 1, "a", "b", 2, "c", 3, "d", 0), (2, text + " end", 1, "a", "b", 2, "c", 3, "d", 0), (None, None, None, None, None, None, None, None, None, None), (3, "", 1, "", "", 0, "", 0, "", 9)]
+    d = spark.createDataFrame([*rows, rows[0], (1, "other " + text[:9], 0, "", "", 0, "", 0, "", 0)], names)
+    kept = ngram_join.keep_one(d)
+    assert kept.columns == d.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 3]
+    assert ngram_join.keep_one(d.limit(0)).count() == 0
+    mail = spark.createDataFrame([(1, "write to zorblax at a@b.com now", 1, "a", "b", 2, "c", 3, "d", 0), *rows], names)
+    got = pii.sanitise(mail)
+    assert got.columns == mail.columns and "<EMAIL>" in {r["doc_id"]: r["text"] for r in got.where("text like '%EMAIL%'").collect()}[1]
+    assert got.where("text is null").count() == 1 and got.where("n_chars <> length(text)").count() == 0
+
+
 def test_count_tree_misses_nothing():
     rng = np.random.default_rng(4)
     p = rng.integers(0, 4, (200, 16))
@@ -131,6 +251,18 @@ def test_sharding(docs):
     assert (load.max(axis=0) / load.mean(axis=0)).max() < 1.03
 
 
+def test_equal_texts_stay_in_one_shard(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "same text here") for i in range(100)] + [(1000 + i, "x" * int(k)) for i, k in enumerate(rng.integers(5, 30, 1000))]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 4).toPandas()
+    assert got[got.doc_id < 100].shard.nunique() == 1
+    hot = [(i, "one text that most rows have") for i in range(2000)] + [(9000, None), (9001, "")] + rows[100:]
+    got = sharding.shard_documents(spark.createDataFrame(hot, "doc_id long, text string"), 4).toPandas()
+    load = got.groupby("shard")["size"].sum()
+    assert load.max() < 1.02 * load.mean() and got[got.doc_id < 2000].shard.nunique() == 4
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
 def plain_spans(t):
     kinds = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
     ok = [lambda m: True, lambda m: all(int(x) <= 255 for x in m.split(".")), lambda m: 14 <= len(re.sub(r"\D", "", m)) <= 19 and pii._luhn(re.sub(r"\D", "", m)), lambda m: 10 <= len(re.sub(r"\D", "", m)) <= 15]
@@ -148,11 +280,47 @@ def test_pii_spans_equal_plain_patterns(spark):
 def test_terms_that_reveal_are_found_and_removed(spark):
     noise = [f"plain words number {chr(97 + i % 26)} and more of them here" + f" u{i}@x.org" * (i > 0) for i in range(60)]
     tied = [f"word{chr(97 + i)} captain zorblax wrote a@b.com about thing{chr(97 + i)}" for i in range(6)]
-    d = spark.createDataFrame(list(enumerate(noise + tied + ["zorblax alone"])), "doc_id long, text string")
-    got = {r["doc_id"]: r["spans"] for r in pii.digests(pii.find(d)).collect()}
+    d = spark.createDataFrame(list(enumerate(noise + tied + ["Zorblax alone"])), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.digests(pii.find(d, 0.8)).collect()}
     assert got[66] == "term:0:7" and got[0] == "" and "email:" in got[60] and "term:" in got[60]
-    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(d).collect()}
-    assert "zorblax" not in clean[66] and "<EMAIL>" in clean[60] and clean[0] == noise[0]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(d, 0.8).collect()}
+    assert "orblax" not in clean[66] and "<EMAIL>" in clean[60] and clean[0] == noise[0]
+
+
+def plain_terms(made, alpha):
+    """The disclosure rule, segment by segment."""
+    n, n_t, n_e, n_te = 0, Counter(), Counter(), Counter()
+    for t in made:
+        spans = pii.base_spans(t)
+        cuts = [0, *(m.end() for m in re.finditer(r"[.!?](?=[ \t\r\n])|\n", t)), len(t)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            n += 1
+            inside = [s for s in spans if a <= s[1] < b]
+            found = {pii.entity(k, t[x:y]) for k, x, y in inside}
+            bare = "".join("\n" if any(x <= i < y for _, x, y in inside) else t[i] for i in range(a, b))
+            n_t.update({w.lower() for w in re.findall(r"[^\W\d_]+", t[a:b])})
+            n_e.update(found)
+            n_te.update((e, w) for e in found for w in {w.lower() for w in re.findall(r"[^\W\d_]+", bare)} if len(w) > 2)
+    return {w for (e, w), k in n_te.items() if n_e[e] < n and math.log(k / (n_t[w] + 0.5)) + math.log(n / n_e[e]) >= alpha * math.log(n / n_e[e])}
+
+
+def test_revealing_terms_equal_the_plain_rule(spark):
+    rng = np.random.default_rng(12)
+    words = ["abc", "Éte", "déjà", "xyz", "the", "of", "naïve", "größe", "中文字", "x", *(f"rare{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9))]
+    own = ["a@b.co", "c@d.org", "10.0.0.1", "+1 (201) 555-0123"]
+    made = ["".join(str(rng.choice([*words, *words, *own])) + str(rng.choice([" ", " ", ", ", ". ", "! ", "\n", "“", "…"])) for _ in range(rng.integers(0, 30))) for _ in range(150)]
+    d = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    for alpha in (0.95, 0.5, 0.2):
+        want = plain_terms([t for t in made if t], alpha)
+        assert {r["term"] for r in pii.revealing_terms(d, alpha).collect()} == want
+    assert want
+
+
+@pytest.mark.skipif(not Path(TABLES).exists(), reason="no tables")
+def test_terms_are_found_in_the_documents_table(spark):
+    d = spark.read.parquet(f"{TABLES}/documents.parquet")
+    assert pii.revealing_terms(d).count() > 50
+    assert pii.find(d).where("exists(spans, s -> s.kind = 'term')").count() > 20
 
 
 def test_fingerprints(docs):
@@ -176,6 +344,122 @@ def test_every_text_with_a_token_has_a_fingerprint(spark):
     assert {r["doc_id"] for r in fingerprints.anchors(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()} == set(range(len(made) - 3))
 
 
+def plain_tokens(t):
+    out = []
+    for run in re.findall(r"[^ \t\n\x0b\f\r]+", t):
+        out += [run] if len(run) <= 32 else re.findall(r".{0,31}?[aeiouAEIOU0-9]|.{1,32}", run)
+    return out
+
+
+def plain_anchors(t):
+    def h(*parts):
+        seed = 42
+        for x in parts:
+            seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else x.to_bytes(8, "little", signed=True), seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    w = plain_tokens(t)
+    s = [h(*w[i : i + 2]) for i in range(len(w))]
+    if len(s) < 8:
+        return list(dict.fromkeys(x & 0xFFFFFFFF for x in s))
+    picked = [(s[i], s[i + 2], s[i + 4]) for i in range(len(s) - 4) if min(s[i], s[i + 4]) <= min(s[i + 1 : i + 4])]
+    return list(dict.fromkeys(h(*p) & 0xFFFFFFFF for p in picked))
+
+
+def test_fingerprints_equal_plain_syncmers(spark):
+    rng = np.random.default_rng(9)
+    made = [" ".join(f"w{x}" for x in rng.integers(0, 60, rng.integers(0, 40))) for _ in range(40)] + ["", "".join(rng.choice(list("abcdefghijk9"), 900))]
+    rows = {r["doc_id"]: r for r in fingerprints.edited_pairs(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for i, t in enumerate(made):
+        nxt = made[i - 1]
+        edited = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+        a, e, n = (plain_anchors(x) for x in (t, edited, nxt))
+        assert rows[i]["fingerprint"] == "".join(f"{x:08X}" for x in a) and rows[i]["edited_fingerprint"] == "".join(f"{x:08X}" for x in e)
+        assert abs(rows[i]["near_edited"] - like(set(a), set(e))) < 1e-12 and abs(rows[i]["near_next"] - like(set(a), set(n))) < 1e-12
+
+
+def test_fingerprints_of_unspaced_text_survive_an_insertion(spark):
+    rng = np.random.default_rng(10)
+    run, chinese = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 3000)), "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 3000, 1500))
+    d = fingerprints.with_anchors(spark.createDataFrame([(run,), ("x" + run,), (chinese,), ("字" + chinese,)], "text string"), "text", "a").collect()
+    for i in (0, 2):
+        a, b = set(d[i]["a"]), set(d[i + 1]["a"])
+        assert len(a & b) > 0.9 * len(a | b)
+
+
+def test_ftrl_equals_plain_steps():
+    rng = np.random.default_rng(13)
+    rows = [np.unique(rng.integers(0, 64, 9)) for _ in range(60)]
+    y = np.array([float(3 in r or 40 in r) for r in rows])
+    p = toxicity.FtrlParams(bits=6, alpha=0.5, l1=0.3, epochs=3, balanced=False, cut=None)
+    z, n = [0.0] * 65, [0.0] * 65
+    order = np.random.default_rng(7)
+
+    def weight(i):
+        l1 = 0.0 if i == 64 else p.l1
+        l2 = 0.0 if i == 64 else p.l2
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + l2)
+
+    for _ in range(p.epochs):
+        for r in order.permutation(np.arange(len(rows))):
+            x = {int(i): 1.0 if i < 32 else p.pair_value for i in rows[r]} | {64: 1.0}
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x))) - y[r]
+            for i in x:
+                sigma = (math.sqrt(n[i] + (g * x[i]) ** 2) - math.sqrt(n[i])) / p.alpha
+                z[i] += g * x[i] - sigma * w[i]
+                n[i] += (g * x[i]) ** 2
+    got = toxicity.fit_ftrl(rows, y, p, 0.5)
+    want = {i: weight(i) * (1.0 if i < 32 else p.pair_value) for i in range(64) if abs(z[i]) > p.l1}
+    assert dict(zip(got.index.tolist(), got.weight.tolist(), strict=True)) == pytest.approx(want, abs=1e-5)
+    assert got.intercept == pytest.approx(weight(64), abs=1e-9)
+
+
+def test_scores_of_the_factorisation_machine_equal_explicit_pairs():
+    rng = np.random.default_rng(14)
+    some = ["the cat | sat. On 12 mats\nand and and", "", "word", "É — ü!"]
+    data, bounds = kernels.text_bytes(pa.array(some))
+    n = 1 << 8
+    m = quality.FmModel(rng.normal(size=n + quality.N_STATS), rng.normal(0, 0.1, (n + quality.N_STATS, 3)), 0.1, np.full(quality.N_STATS, 0.2), np.full(quality.N_STATS, 0.5), 8, 8.0)
+    h, at = kernels.words(data, bounds, None)
+    stats = quality.standard(quality.statistics(data, bounds, h, at), m.mean, m.std)
+    for r, got in enumerate(quality.row_scores(pa.array(some), m)):
+        slot = (h[at[r] : at[r + 1]] & np.uint64(n - 1)).astype(int).tolist()
+        fields = [(i, m.scale / len(slot)) for i in slot] + [(n + k, x) for k, x in enumerate(stats[r])]
+        f = m.bias + sum(m.w[i] * x for i, x in fields)
+        f += sum(m.v[fields[a][0]] @ m.v[fields[b][0]] * fields[a][1] * fields[b][1] for a in range(len(fields)) for b in range(a))
+        assert got == pytest.approx(1 / (1 + math.exp(-f)), abs=1e-9)
+
+
+def test_row_counts_by_slabs():
+    rng = np.random.default_rng(15)
+    kinds, bounds = rng.integers(0, 5, 100).astype(np.uint8), np.array([0, 0, 7, 7, 60, 100, 100])
+    want = [np.bincount(kinds[a:b], minlength=5).tolist() for a, b in zip(bounds, bounds[1:], strict=False)]
+    assert all(kernels.row_counts(kinds, bounds, 5, slab).tolist() == want for slab in (1, 3, 8, 1000))
+
+
+@pytest.mark.skipif(not Path(TABLES).exists(), reason="no tables")
+def test_held_out_rows_of_the_tables(spark):
+    d, lab = (spark.read.parquet(f"{TABLES}/{t}.parquet") for t in ("documents", "labels"))
+    for got, label, least in ((toxicity.toxicity(d, lab), "toxic", 0.9), (quality.quality(d, lab), "quality", 0.95)):
+        rows = got.where("held_out").join(lab.dropDuplicates(["doc_id"]), "doc_id").collect()
+        assert np.mean([r["predicted"] == r[label] for r in rows]) >= least
+    rows = language.language_id(d).where("held_out").join(d.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in rows if r["lang"] and r["lang_pred"] != "und"]) > 0.95
+
+
+@pytest.mark.skipif(not Path(TABLES).exists(), reason="no tables")
+def test_rates_meet_their_targets(spark):
+    d, lab = (spark.read.parquet(f"{TABLES}/{t}.parquet") for t in ("documents", "labels"))
+    p = mixing.MixParams()
+    rows = mixing.rates(d, lab).toPandas()
+    post = rows[[f"p_{k}" for k in mixing.DOMAINS]].to_numpy()
+    before, after = (rows.tokens.to_numpy() @ post, (rows.tokens * rows.rate).to_numpy() @ post)
+    want = before[0] * (1 + p.lift) / p.weights["clean"] * np.array([p.weights[k] for k in mixing.DOMAINS])
+    assert (np.abs(after - want) / before).max() < 0.02 and (rows.rate >= 0).all()
+
+
 def test_gru_gradient():
     p = language.init(3, 2)
     x = np.random.default_rng(0).integers(0, 256, (5, 4)).astype(np.uint8)
@@ -208,14 +492,6 @@ def test_models_score_every_row(docs, labels):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
-def test_identity_of_the_factorisation_machine():
-    rng = np.random.default_rng(6)
-    x, v = rng.normal(size=9), rng.normal(size=(9, 3))
-    pairs = sum(v[i] @ v[j] * x[i] * x[j] for i in range(9) for j in range(i))
-    s, q = x @ v, (x * x) @ (v * v).sum(axis=1)
-    assert abs(pairs - 0.5 * (s @ s - q)) < 1e-9
-
-
 def test_mixing(docs, labels):
     rows = mixing.rates(docs, labels).collect()
     assert len(rows) == docs.count() and all(r["rate"] >= 0 for r in rows)
