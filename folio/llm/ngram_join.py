@@ -217,17 +217,14 @@ class CountRTree:
 Cell = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
 
 
-def group_pairs(rep: np.ndarray, points: np.ndarray, sizes: np.ndarray, first: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def group_pairs(rep: np.ndarray, points: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """About one pair a class: in order of rep, a class that none before has found is tried against all that its search
-    of the R-tree finds, if not found before. The block's least class is tried against the cell's least, `first`."""
+    of the R-tree finds, if not found before. The cell's least class is in each block and so comes first in all."""
     order = np.argsort(rep, kind="stable")
     own = np.arange(len(rep))
     tree = CountRTree(points, sizes, own)
     left = np.ones(len(rep), bool)
     a, b = [], []
-    if rep[order[0]] != first:
-        a.append(np.array([first]))
-        b.append(rep[order[:1]])
     at, step = 0, 1
     while at < len(order):
         ask = order[at : at + step]
@@ -273,10 +270,10 @@ def cells(rows: DataFrame, work: Cell) -> DataFrame:
         def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
             keys = [t.column(c).to_numpy() for c in ("key", "b1", "b2")]
             cut = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
-            for lo, hi in zip([0, *cut], [*cut, len(t)], strict=True):
-                a, b = work(t.slice(lo, hi - lo))
-                for at in range(0, len(a), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)], pa.int64()) for x in (a, b)], ["a", "b"])
+            found = [work(t.slice(lo, hi - lo)) for lo, hi in zip([0, *cut], [*cut, len(t)], strict=True)]
+            both = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)]), axis=1)  # cells share pairs
+            for at in range(0, both.shape[1], 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)], pa.int64()) for x in both], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -413,7 +410,7 @@ def components_by_set(docs: DataFrame, n: int, num: int, den: int) -> tuple[Data
         return [t.column("rep").to_numpy(), unpacked(t.column("counts").to_pylist()), t.column("size").to_numpy()]
 
     def in_group(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return group_pairs(*columns(t), int(t.column("lo")[0].as_py()), num, den)
+        return group_pairs(*columns(t), num, den)
 
     def in_prefix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return cell_pairs(*columns(t), *(t.column(c).to_numpy() for c in ("component", "own")), num, den)
@@ -422,7 +419,8 @@ def components_by_set(docs: DataFrame, n: int, num: int, den: int) -> tuple[Data
     counts = reps.select("rep", "counts")
     keys = reps.select(F.explode(F.array_distinct("stars")).alias("key"), "rep").groupBy("key").agg(*classes, F.min("rep").alias("lo"), F.max("rep").alias("hi"))
     hit = in_cells(reps.withColumn("component", F.col("rep")), "stars", opened(keys.where("c > 1")))
-    hit = hit.select("key", F.col("own").alias("b1"), F.col("own").alias("b2"), "lo", "rep", "size").join(counts, "rep")
+    block = F.explode(F.when(F.col("rep") == F.col("lo"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))).alias("b1")
+    hit = hit.select("key", block, "rep", "size").withColumn("b2", F.col("b1")).join(counts, "rep")
     links = verified(cells(hit, in_group), docs, n, num, den)
 
     first = connected_components(links)

@@ -207,7 +207,7 @@ def test_ngram_join_is_exact_on_families(spark, monkeypatch, block):
 def test_group_cells_give_about_one_pair_a_member():
     points = np.full((1000, ngram_join.GROUPS), 3, np.uint16)
     rep = np.arange(1000) + 5
-    a, b = ngram_join.group_pairs(rep, points, points.sum(axis=1, dtype=np.int64), 5, 80, 100)
+    a, b = ngram_join.group_pairs(rep, points, points.sum(axis=1, dtype=np.int64), 80, 100)
     assert len(a) == 999 and set(a) == {5} and set(b) == set(range(6, 1005))
 
 
