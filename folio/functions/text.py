@@ -19,7 +19,7 @@ from .dims import STOP_WORDS
 WS = "[\\s\\x1C-\\x1F]"  # under (?U)
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
 #: Arabic letters that fold, and to what
-FOLD_FROM, FOLD_TO = "أإآىؤئ", "اااي" + "و" + "ي"
+FOLD_FROM, FOLD_TO = "أإآىؤئ", "ااايوي"
 DIACRITICS = "[\\u0610-\\u061A\\u064B-\\u065F\\u0670\\u06D6-\\u06ED]"
 TOKEN = "([A-Za-z0-9]+|[\\u0600-\\u06FF]+)"
 PREFIXES = ("وال", "فال", "بال", "كال")
@@ -35,7 +35,13 @@ def _form(kind: str):
     def run_array(s: pd.Series) -> pd.Series:
         return s.map(lambda a: None if a is None else [one(x) for x in a])
 
-    return F.pandas_udf(run, T.StringType()), F.pandas_udf(run_array, T.ArrayType(T.StringType()))
+    udf, array_udf = F.pandas_udf(run, T.StringType()), F.pandas_udf(run_array, T.ArrayType(T.StringType()))
+
+    def form(c: Column) -> Column:
+        """Only texts beyond ASCII go to the UDF; the others stay in the JVM."""
+        return F.coalesce(udf(F.when(c.rlike("[^\\x00-\\x7F]"), c)), c)
+
+    return form, array_udf
 
 
 nfkc, nfkc_array = _form("NFKC")

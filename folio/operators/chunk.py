@@ -56,11 +56,13 @@ def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] =
 
 
 def splitter(size: int, overlap: int):
+    """split_text as a Column function; marked as not deterministic, so that the optimizer doesn't copy it."""
+
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: split_text(t, size, overlap) if t else [])
 
-    return run
+    return run.asNondeterministic()
 
 
 def reference_like(text: str | Column) -> Column:

@@ -27,14 +27,14 @@ def edge_forms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(ends(solid), X.detection_line), lambda x: x != ""))
 
 
-def repeated_edge_lines(pages: DataFrame, min_pages: int = 12, ratio: float = 0.12) -> DataFrame:
+def repeated_edge_lines(pages: DataFrame, min_pages: int = 12, ratio: float = 0.12, edges: str | None = None) -> DataFrame:
     """book_id, line, pages: edge lines on at least max(min_pages, ratio of the book's pages) pages, of 4 characters or more.
 
-    Two aggregations with partial sums; nothing is kept for a page but its edge lines.
+    Two aggregations with partial sums; nothing is kept for a page but its edge lines. edges: a column of them, if known.
     """
-    text = pages.select("book_id", X.normalize_unicode("text").alias("t"))
+    forms = pages.select("book_id", F.col(edges).alias("e")) if edges else pages.select("book_id", X.normalize_unicode("text").alias("t")).select("book_id", edge_forms(F.col("t")).alias("e"))
     need = pages.groupBy("book_id").agg(F.greatest(F.lit(min_pages), F.bround(F.count("*") * F.lit(ratio)).cast("long")).alias("need"))
-    seen = text.select("book_id", F.explode(edge_forms(F.col("t"))).alias("line")).groupBy("book_id", "line").agg(F.count("*").alias("pages"))
+    seen = forms.select("book_id", F.explode("e").alias("line")).groupBy("book_id", "line").agg(F.count("*").alias("pages"))
     return seen.join(need, "book_id").where((F.col("pages") >= F.col("need")) & (F.length("line") >= 4)).select("book_id", "line", "pages")
 
 

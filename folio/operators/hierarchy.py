@@ -111,23 +111,43 @@ def scope_allows(book_id: str = "book_id", number: str = "chapter_number", path:
     return F.when(F.col(book_id) == "aap8", chapter_ok).when(F.col(book_id) == "pnp3", ~out & ~any_of(matched if matched is not None else X.match_text(path), INFANT_MARKERS)).otherwise(F.lit(True))
 
 
+RANGE = 4096
+FIELDS = {"part_title": "part", "section_title": "section", "chapter_title": "chapter", "chapter_number": "number"}
+
+
+def carried(found: DataFrame) -> DataFrame:
+    """book_id, page_number and the FIELDS as they stand at each page, from headings (book_id, page_number, FIELDS; null:
+    none). Each field carries forward on its own. Pages are taken in ranges of RANGE numbers: within a range by a
+    window, and into a range by the last heading of those before it; so no task holds a whole book."""
+    d = found.withColumn("__r", F.floor(F.col("page_number") / RANGE))
+    ends = d.groupBy("book_id", "__r").agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("page_number"))).alias(f"__{f}") for f in FIELDS])
+    before = Window.partitionBy("book_id").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    into = ends.select(F.col("book_id").alias("__b"), F.col("__r").alias("__o"), *[F.last(f"__{f}", ignorenulls=True).over(before).alias(f"__in_{f}") for f in FIELDS])
+    so_far = Window.partitionBy("book_id", "__r").orderBy("page_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.select("book_id", "page_number", "__r", *[F.last(f, ignorenulls=True).over(so_far).alias(f) for f in FIELDS])
+    d = d.join(into, d["book_id"].eqNullSafe(into["__b"]) & d["__r"].eqNullSafe(into["__o"]))
+    return d.select("book_id", "page_number", *[F.coalesce(f, f"__in_{f}", F.lit("")).alias(f) for f in FIELDS])
+
+
 def attach_hierarchy(pages: DataFrame, config: EngineConfig | None = None) -> DataFrame:
     """Each of four fields carries forward on its own over a book's body pages; other pages neither read nor write it.
 
-    A window by book in page order; a book's pages meet in one task, as the state of a page needs those before it.
+    Texts are dealt by book and page, so their patterns run in as many tasks as there are partitions; only the
+    headings found go through the windows (`carried`) and come back by book and page. Pages of one book and number
+    share their headings, of each field the greatest.
     """
     config = config or EngineConfig()
-    d = pages.withColumn("book_layout", book_layout()).withColumn("content_type", page_class(config)).withColumn("__l", X.page_lines("text", 55))
+    d = pages.repartition("book_id", "page_number")
+    d = d.withColumn("book_layout", book_layout()).withColumn("content_type", page_class(config)).withColumn("__l", X.page_lines("text", 55))
     body = F.col("content_type") == "body"
     none = F.lit(None).cast(FOUND)
     found = F.when(body & (F.col("book_layout") == "aap_chapter"), chapter_headings("__l")).when(body & (F.col("book_layout") == "pnp_numbered"), numbered_headings("__l")).otherwise(none)
-    d = d.withColumn("__f", found)
-    so_far = Window.partitionBy("book_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    names = {"part_title": "part", "section_title": "section", "chapter_title": "chapter", "chapter_number": "number"}
-    for out, f in names.items():
-        carried = F.coalesce(F.last(F.nullif(F.col("__f")[f], F.lit("")), ignorenulls=True).over(so_far), F.lit(""))
-        d = d.withColumn(out, F.when(body, carried))
+    d = d.withColumn("__f", found).drop("__l")
+    heads = d.where(body).groupBy("book_id", "page_number").agg(*[F.max(F.nullif(F.col("__f")[f], F.lit(""))).alias(out) for out, f in FIELDS.items()])
+    state = carried(heads).withColumnsRenamed({"book_id": "__b", "page_number": "__p"})
+    d = d.join(state, d["book_id"].eqNullSafe(state["__b"]) & d["page_number"].eqNullSafe(state["__p"]), "left").drop("__b", "__p", "__f")
+    d = d.withColumns({f: F.when(body, F.col(f)) for f in FIELDS})
     d = d.withColumn("hierarchy_version", F.lit(VERSION)).withColumn("hierarchy_path", F.when(body, hierarchy_path("part_title", "section_title", "chapter_title")))
     d = d.withColumn("__m", X.match_text("hierarchy_path")).withColumn("school_scope", F.when(body, scope_allows(matched=F.col("__m")))).drop("__m")
     has = (F.col("hierarchy_path") != "") & (F.col("chapter_number") != "")
-    return d.withColumn("indexable", F.coalesce(body & has & (F.col("school_scope") | F.lit(not config.school_scope_only)), F.lit(False))).drop("__f", "__l")
+    return d.withColumn("indexable", F.coalesce(body & has & (F.col("school_scope") | F.lit(not config.school_scope_only)), F.lit(False)))

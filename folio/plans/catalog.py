@@ -38,8 +38,10 @@ def load(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("lang").orderBy("doc_id")
-    return load(spark, d, "documents").select("doc_id", F.col("lang").alias("book_id"), F.col("source").alias("book_title"), F.row_number().over(w).alias("page_number"), "text")
+    """Only ids are numbered in a window; the texts meet their numbers by id."""
+    docs = load(spark, d, "documents")
+    numbers = docs.select("doc_id", "lang").distinct().select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).alias("page_number"))
+    return docs.join(numbers, "doc_id").select("doc_id", F.col("lang").alias("book_id"), F.col("source").alias("book_title"), "page_number", "text")
 
 
 def book_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -51,8 +53,9 @@ def book_pages(spark: SparkSession, d: str) -> DataFrame:
     )
     book = F.when(aap, "aap8").otherwise("pnp3")
     title = F.when(aap, "Pediatric-Nutrition").otherwise("PNP 3rd Edition Book")
-    num = F.row_number().over(Window.partitionBy(book).orderBy("doc_id"))
-    return p.select("doc_id", book.alias("book_id"), title.alias("book_title"), num.alias("page_number"), F.concat(head, "text").alias("text"), F.lit("f.pdf").alias("source"))
+    numbers = load(spark, d, "documents").select("doc_id", F.col("lang").alias("book_id")).distinct()
+    numbers = numbers.select("doc_id", F.row_number().over(Window.partitionBy(book).orderBy("doc_id")).alias("num"))
+    return p.join(numbers, "doc_id").select("doc_id", book.alias("book_id"), title.alias("book_title"), F.col("num").alias("page_number"), F.concat(head, "text").alias("text"), F.lit("f.pdf").alias("source"))
 
 
 WS = r"[ \t\n\x0B\f\r]"
@@ -175,15 +178,15 @@ sc as (select item_id, p.doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 +
 rk as (select item_id, doc_id, score, row_number() over (partition by item_id order by round(score, 9) desc, doc_id) as rank from sc)"""
 
 
-@query(BM25 + " select item_id, doc_id, rank::int as rank, round(score, 6) as score from rk where rank <= 10 and score > 0")
+@query(BM25 + " select item_id, doc_id, rank::int as rank, round(score, 6) as score from rk where rank <= 50 and score > 0")
 def bm25_topk(spark, d):
     idx = load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     q = load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(0).alias("qi"), F.col("text").alias("q"))
-    out = retrieve.bm25(q, idx, 10, F.col("text"))
+    out = retrieve.bm25(q, idx, 50, F.col("text"))
     return out.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
 
 
-DENSE = "list_inner_product(a.embedding::double[], b.embedding::double[])"
+DENSE = "greatest(-1.0::double, least(1.0::double, list_inner_product(a.embedding::double[], b.embedding::double[])))"
 
 
 @query(f"select q as query_id, c as chunk_id, rank::int as rank, round(s, 6) as score from (select b.vec_id as q, a.vec_id as c, {DENSE} as s, row_number() over (partition by b.vec_id order by {DENSE} desc, a.vec_id) as rank from embeddings a, embeddings b where b.vec_id % 100 = 0) where rank <= 10")
@@ -198,14 +201,14 @@ def _hits(spark, d):
     """BM25 over the documents and nearest vectors of the same ids, for one set of questions: the benchmark items."""
     docs = load(spark, d, "documents")
     q = load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(0).alias("qi"), F.col("text").alias("q"))
-    lex = retrieve.bm25(q, docs.select(F.col("doc_id").alias("chunk_id"), "text"), 10, F.col("text"))
+    lex = retrieve.bm25(q, docs.select(F.col("doc_id").alias("chunk_id"), "text"), 50, F.col("text"))
     e = load(spark, d, "embeddings")
     vec = q.join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), "query_id")
-    return retrieve.dense(vec, e.select(F.col("vec_id").alias("chunk_id"), "embedding"), 10), lex, q.withColumn("w", F.lit(1.0))
+    return retrieve.dense(vec, e.select(F.col("vec_id").alias("chunk_id"), "embedding"), 60), lex, q.withColumn("w", F.lit(1.0))
 
 
-FUSE = f"""{BM25}, lex as (select item_id, doc_id, rank, score from rk where rank <= 10 and score > 0),
-den as (select * from (select b.vec_id as item_id, a.vec_id as doc_id, {DENSE} as score, row_number() over (partition by b.vec_id order by {DENSE} desc, a.vec_id) as rank from embeddings a, embeddings b where b.vec_id in (select item_id from benchmark)) where rank <= 10),
+FUSE = f"""{BM25}, lex as (select item_id, doc_id, rank, score from rk where rank <= 50 and score > 0),
+den as (select * from (select b.vec_id as item_id, a.vec_id as doc_id, {DENSE} as score, row_number() over (partition by b.vec_id order by {DENSE} desc, a.vec_id) as rank from embeddings a, embeddings b where b.vec_id in (select item_id from benchmark)) where rank <= 60),
 u as (select item_id, doc_id, 1.0::double / (60 + rank) as part, score as sim, null::double as lexs from den union all select item_id, doc_id, 0.22::double / (60 + rank), null, score from lex),
 f as (select item_id as query_id, doc_id as chunk_id, coalesce(max(sim), 0) as sim, coalesce(max(lexs), 0) as lexs, sum(part) as rrf from u group by all)"""
 
@@ -226,18 +229,21 @@ def hybrid_stage(spark, d):
 MM = "case when abs(max({0}) over w - min({0}) over w) <= 1e-9 * greatest(abs(max({0}) over w), abs(min({0}) over w)) then case when max({0}) over w > 0 then 1.0 else 0.0 end else ({0} - min({0}) over w) / (max({0}) over w - min({0}) over w) end"
 
 
-@query(FUSE + f" select query_id, chunk_id, round({MM.format('sim')}, 4) as semantic, round({MM.format('lexs')}, 4) as bm25, round({MM.format('rrf')}, 4) as rrf from f window w as (partition by query_id)")
+@query(FUSE + f" select query_id, chunk_id, round({MM.format('sim')}, 6) as semantic, round({MM.format('lexs')}, 6) as bm25, round({MM.format('rrf')}, 6) as rrf from f window w as (partition by query_id)")
 def minmax_features(spark, d):
     a, b, w = _hits(spark, d)
     f = retrieve.fuse(a, b, w)
-    return f.select("query_id", "chunk_id", *[F.round(rank.min_max(c), 4).alias(n) for n, c in (("semantic", "semantic_similarity"), ("bm25", "bm25_score"), ("rrf", "rrf_score"))])
+    return f.select("query_id", "chunk_id", *[F.round(rank.min_max(c), 6).alias(n) for n, c in (("semantic", "semantic_similarity"), ("bm25", "bm25_score"), ("rrf", "rrf_score"))])
 
 
-@query(FUSE + f" select query_id, chunk_id, round(0.25 * ({MM.format('sim')}) + 0.08 * ({MM.format('rrf')}), 4) as final_score from f window w as (partition by query_id)")
+@query(FUSE + f" select query_id, chunk_id, round(0.25 * ({MM.format('sim')}) + 0.08 * ({MM.format('rrf')}), 6) as final_score from f window w as (partition by query_id)")
 def weighted_score(spark, d):
     a, b, w = _hits(spark, d)
-    f = retrieve.fuse(a, b, w)
-    return f.select("query_id", "chunk_id", F.round(0.25 * rank.min_max("semantic_similarity") + 0.08 * rank.min_max("rrf_score"), 4).alias("final_score"))
+    f = retrieve.fuse(a, b, w).join(w.select("query_id", F.col("q").alias("rerank_query")), "query_id")
+    f = f.select("*", *[F.lit("").alias(c) for c in ("book_title", "chapter_title", "section_title", "hierarchy_path", "text")])
+    ordered = f.withColumn("hybrid_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(retrieve.hybrid_score()), "chunk_id")))
+    scored = rank.score(rank.rerank(ordered, limit=1 << 30))
+    return scored.select("query_id", "chunk_id", F.round("final_score", 6).alias("final_score"))
 
 
 # questions
@@ -342,9 +348,11 @@ def page_classify(spark, d):
 @query("""with p as (select doc_id, lang, row_number() over (partition by lang order by doc_id) as n from documents), h as (select *, case when n % 7 = 0 then 'part ' || (n // 7)::varchar end as head from p)
     select doc_id, coalesce(last_value(head ignore nulls) over (partition by lang order by n rows between unbounded preceding and current row), '') as part from h""")
 def hierarchy_forward_fill(spark, d):
-    w = Window.partitionBy("book_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, 0)
     head = F.when(F.col("page_number") % 7 == 0, F.concat(F.lit("part "), F.floor(F.col("page_number") / 7).cast("string")))
-    return pages(spark, d).select("doc_id", F.coalesce(F.last(head, ignorenulls=True).over(w), F.lit("")).alias("part"))
+    p = pages(spark, d)
+    none = F.lit(None).cast("string")
+    state = hierarchy.carried(p.select("book_id", "page_number", head.alias("part_title"), *[none.alias(f) for f in hierarchy.FIELDS if f != "part_title"]))
+    return p.select("doc_id", "book_id", "page_number").join(state, ["book_id", "page_number"]).select("doc_id", F.col("part_title").alias("part"))
 
 
 @query()

@@ -160,3 +160,47 @@ def test_questions_and_diversity_over_whole_tables(spark, tmp_path):
     assert topic in rows["topic_detect_enhanced_all"][0]["topics"].split(",") and rows["age_scope_all"][1]["age_scope"] == "school_age"
     assert [rows["query_understanding_all"][i]["queries"] is None for i in range(len(some))] == [False, False, True, True, True, False]
     assert [r["chunk_id"] for r in catalog.QUERIES["diversify_all"](spark, str(tmp_path)).orderBy("position").collect()] == [1, 3]
+
+
+def test_rerank_fails_for_a_whole_question(spark):
+    rows = [(q, f"{q}{i}", i, f"text {i}", "b", "h", "ask") for q in ("x", "y") for i in range(1, 13)]
+    d = spark.createDataFrame(rows, "query_id string, chunk_id string, hybrid_rank int, text string, book_title string, hierarchy_path string, rerank_query string")
+
+    def model(asked, pairs):
+        if any("text 10" in p for p in pairs) and len(pairs) < 8:
+            raise RuntimeError("no memory")
+        return [float(p.rsplit(" ", 1)[1]) for p in pairs]
+
+    failed = rank.rerank(d, reranker=model).orderBy("query_id", "rerank_rank").collect()
+    assert {r["rerank_score"] for r in failed} == {0.0} and [r["hybrid_rank"] for r in failed[:12]] == list(range(1, 13))
+    good = rank.rerank(d, reranker=model, batch=50).orderBy("query_id", "rerank_rank").collect()
+    assert [r["hybrid_rank"] for r in good[:3]] == [12, 11, 10]
+
+
+def test_hierarchy_carries_over_page_ranges(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "RANGE", 3)
+    rows = [("b", n, "p%d" % n if n in (2, 11) else None, "s%d" % n if n == 7 else None) for n in range(1, 15)] + [("c", 9, None, None)]
+    d = spark.createDataFrame(rows, "book_id string, page_number int, part_title string, section_title string")
+    got = hierarchy.carried(d.withColumn("chapter_title", F.lit(None).cast("string")).withColumn("chapter_number", F.lit(None).cast("string"))).orderBy("book_id", "page_number").collect()
+    assert [r["part_title"] for r in got] == [""] + ["p2"] * 9 + ["p11"] * 4 + [""]
+    assert [r["section_title"] for r in got] == [""] * 6 + ["s7"] * 8 + [""] and {r["chapter_title"] for r in got} == {""}
+
+
+def test_prompt_keeps_what_it_is_given(spark):
+    d = spark.createDataFrame([("100% %s {x}?", "English", "", "ctx %d")], "q string, l string, p string, c string")
+    got = d.select(answer.user_prompt(F.col("q"), F.col("l"), F.col("p"), F.col("c"), F.lit(False)).alias("r")).first()["r"]
+    assert got.startswith("USER QUESTION:\n100% %s {x}?\n\nRESPONSE LANGUAGE:\nEnglish\n\nCHILD PROFILE:\nNo profile details supplied.\n\nRETRIEVED CONTEXT:\nctx %d\n")
+    assert got.endswith("return exactly:\n   NO_RELIABLE_CONTEXT") and "1. Answer the specific" in got
+
+
+def test_normal_forms_beyond_ascii(spark):
+    assert one(spark, "ﬁn Ⅷ ١٢ إلى آخر ـ", X.search_text("text")) == X.search_form("ﬁn Ⅷ ١٢ إلى آخر ـ")
+    assert one(spark, None, X.search_text("text")) == "" and one(spark, "Ångström NAÏVE", X.match_text("text")) == X.match_form("Ångström NAÏVE")
+
+
+def test_terms_of_stored_postings_rank_as_before(spark):
+    idx = spark.createDataFrame([("a", "iron zinc zinc"), ("b", "iron"), ("c", "iron milk")], "chunk_id string, text string")
+    q = spark.createDataFrame([("q", 0, "zinc milk")], "query_id string, qi int, q string")
+    post = retrieve.stored_postings(idx, F.col("text"))
+    one_, two = (retrieve.bm25(q, idx, 5, F.col("text"), p).orderBy("rank").collect() for p in (None, post))
+    assert one_ == two and {r["chunk_id"] for r in two} == {"a", "c"}
