@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from .dims import STOP_WORDS
 
-WS = "[\\s\\x1C-\\x1F]"  # under (?U)
+#: all of Unicode's white space and the separators 1C to 1F, as a plain class, which matches faster than one under (?U)
+WS = "[\\t-\\r\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
 #: Arabic letters that fold, and to what
 FOLD_FROM, FOLD_TO = "أإآىؤئ", "ااايوي"
@@ -60,7 +61,7 @@ def let(value: Column, body) -> Column:
 
 def strip(c: str | Column) -> Column:
     """Without white space at both ends (all of Unicode's)."""
-    return F.regexp_replace(col(c), f"(?U)^{WS}+|{WS}+$", "")
+    return F.regexp_replace(col(c), f"^{WS}+|{WS}+$", "")
 
 
 def lines(c: str | Column) -> Column:
@@ -78,11 +79,11 @@ def normalize_unicode(c: str | Column) -> Column:
 def detection_line(c: str | Column) -> Column:
     """A line as repeated lines are told: lower case, digits as #."""
     t = F.lower(strip(c))
-    return F.regexp_replace(F.regexp_replace(t, "(?U)\\d+", "#"), "[ \\t]+", " ")
+    return F.regexp_replace(F.regexp_replace(t, "\\p{Nd}+", "#"), "[ \\t]+", " ")
 
 
 def compact(c: str | Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), f"(?U){WS}+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), f"{WS}+", " "))
 
 
 def _search_form(c: Column) -> Column:

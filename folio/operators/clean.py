@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.store import settled
 
 EDGE = 5
 VERSION = "school_medical_safe_v5"  # fixed value
@@ -18,6 +19,7 @@ BROKEN_WORD = "(?U)(?<=[A-Za-z])[-\\u2010\\u2011]\\s*\\n\\s*(?=[A-Za-z])"
 NOISE = "[\\uFFFD\\u25A1\\u25A0\\u25C6]+"
 URL_LINE = "(?iuU)^\\s*(?:https?://|www\\.)\\S+\\s*\\z"
 PAGE_NUMBER = "(?iuU)^\\s*(?:page\\s*)?\\d+\\s*\\z"
+PAGE_NUMBER_FORM = "(?U)^\\s*(?:page\\s*)?#\\s*\\z"
 BROKEN_LINE = "(?<![.!?:;\\]])\\n(?=[a-z])"
 
 
@@ -62,26 +64,40 @@ def without_repeated_edges(t: Column, repeated: Column) -> Column:
     return X.let(X.lines(t), lambda a: X.let(ends(solid(a)), lambda e: F.array_join(kept(a, e), "\n")))
 
 
-def clean_text(df: DataFrame, repeated: str, text: str = "text") -> DataFrame:
-    """df with text cleaned; repeated: a column of the book's repeated lines (null or empty: none, then no line is taken off)."""
-    df = df.withColumn("__n", without_artefacts(X.normalize_unicode(text)))
+def has_edges_to_go(forms: Column, repeated: Column) -> Column:
+    """Whether some edge line, by its detection form, is repeated or a bare page number."""
+    return F.arrays_overlap(forms, repeated) | F.exists(forms, lambda x: x.rlike(PAGE_NUMBER_FORM))
+
+
+def clean_text(df: DataFrame, repeated: str, text: str = "text", normalised: str | None = None, edges: str | None = None) -> DataFrame:
+    """df with text cleaned; repeated: a column of the book's repeated lines (null or empty: none, then no line is taken off).
+
+    normalised, edges: columns of the unicode-normalised text and its edge forms, if known. Lines are gone through for
+    edges only where one has to go."""
+    df = df.withColumn("__u", F.col(normalised) if normalised else X.normalize_unicode(text))
+    df = df.withColumn("__e2", F.col(edges) if edges else edge_forms(F.col("__u"))).withColumn("__n", without_artefacts(F.col("__u")))
     some = F.coalesce(F.size(repeated), F.lit(0)) > 0
-    df = df.withColumn("__c", F.when(some, without_repeated_edges(F.col("__n"), F.col(repeated))).otherwise(F.col("__n")))
+    # taking artefacts out may bring up other edges, so only an unchanged text is told by its forms
+    same = (F.col("__n") == F.col("__u")) & ~has_edges_to_go(F.col("__e2"), F.col(repeated))
+    untouched = F.array_join(X.lines(F.col("__n")), "\n")
+    df = df.withColumn("__c", F.when(~some, F.col("__n")).when(same, untouched).otherwise(without_repeated_edges(F.col("__n"), F.col(repeated))))
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace("__c", BROKEN_WORD, ""), NOISE, " "), "[ \\t]+", " ")
     kept = F.filter(F.transform(X.lines(t), X.strip), lambda x: (x == "") | ~x.rlike(URL_LINE))
     t = F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), BROKEN_LINE, " "), "\\n{3,}", "\n\n")
-    return df.withColumn(text, X.strip(t)).drop("__n", "__c")
+    return df.withColumn(text, X.strip(t)).drop("__u", "__e2", "__n", "__c")
 
 
 def preprocess(pages: DataFrame, least: int = 60, min_pages: int = 12, ratio: float = 0.12) -> DataFrame:
     """Pages cleaned by their book's repeated lines; those of fewer than `least` characters go.
 
     A book has few repeated lines: at most one for each 0.12 of its pages' ten edge lines, 83. So a book's set is
-    one short array, joined by book_id.
+    one short array, joined by book_id. Pages are normalised once and kept in the shared folder, as both the repeated
+    lines and the cleaning read them.
     """
-    sets = repeated_edge_lines(pages, min_pages, ratio).groupBy("book_id").agg(F.sort_array(F.collect_set("line")).alias("__rep"))
-    joined = pages.join(sets, "book_id", "left").withColumn("original_character_count", F.length(F.coalesce("text", F.lit(""))))
-    out = clean_text(joined, "__rep").drop("__rep").where(F.length("text") >= least)
+    base = pages.withColumn("original_character_count", F.length(F.coalesce("text", F.lit("")))).withColumn("__t", X.normalize_unicode("text"))
+    base = settled(base.withColumn("__f", edge_forms(F.col("__t"))))
+    sets = repeated_edge_lines(base, min_pages, ratio, "__f").groupBy("book_id").agg(F.sort_array(F.collect_set("line")).alias("__rep"))
+    out = clean_text(base.join(sets, "book_id", "left"), "__rep", normalised="__t", edges="__f").drop("__rep", "__t", "__f").where(F.length("text") >= least)
     return out.withColumns({"preprocessed": F.lit(True), "preprocessing_version": F.lit(VERSION), "clean_character_count": F.length("text")})
 
 

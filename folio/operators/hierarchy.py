@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..config import EngineConfig
 from ..functions import text as X
+from ..functions.store import settled
 from ..functions.dims import CHAPTER_TITLES, EXCLUDED_CHAPTERS, EXCLUDED_SECTIONS, INFANT_MARKERS, SECTION_TITLES
 
 VERSION = "canonical_school_v10"  # fixed value
@@ -142,7 +143,7 @@ def attach_hierarchy(pages: DataFrame, config: EngineConfig | None = None) -> Da
     body = F.col("content_type") == "body"
     none = F.lit(None).cast(FOUND)
     found = F.when(body & (F.col("book_layout") == "aap_chapter"), chapter_headings("__l")).when(body & (F.col("book_layout") == "pnp_numbered"), numbered_headings("__l")).otherwise(none)
-    d = d.withColumn("__f", found).drop("__l")
+    d = settled(d.withColumn("__f", found).drop("__l"))  # read twice below: by the headings, and by what they are joined to
     heads = d.where(body).groupBy("book_id", "page_number").agg(*[F.max(F.nullif(F.col("__f")[f], F.lit(""))).alias(out) for out, f in FIELDS.items()])
     state = carried(heads).withColumnsRenamed({"book_id": "__b", "page_number": "__p"})
     d = d.join(state, d["book_id"].eqNullSafe(state["__b"]) & d["page_number"].eqNullSafe(state["__p"]), "left").drop("__b", "__p", "__f")
