@@ -137,12 +137,11 @@ def test_normalisers_run_over_all_documents(spark, tmp_path):
 
     some = ["Plain ASCII 12", "Caf\u00e9 na\u00efve \ufb01ve", "\u0623\u064e\u0637\u0641\u0627\u0644 \u0648\u0627\u0644\u063a\u0630\u0627\u0621 12", "\u65e5\u672c \uff21\uff22", "", None]
     spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["normalized"] for r in catalog.QUERIES["search_text_all"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["normalized"] for r in catalog.QUERIES["search_text"](spark, str(tmp_path)).collect()}
     assert got == {i: plain_search(t) for i, t in enumerate(some)}
-    got = {r["doc_id"]: r["matched"] for r in catalog.QUERIES["match_text_all"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["matched"] for r in catalog.QUERIES["match_text"](spark, str(tmp_path)).collect()}
     assert got == {i: X.match_form(t or "") for i, t in enumerate(some)}
     assert got[1] == "cafe naive five" and got[2] == "\u0627\u0637\u0641\u0627\u0644 \u063a\u0630\u0627\u0621 12"
-    assert not {"search_text_all", "match_text_all"} & set(catalog.ORACLE_SQL)
 
 
 def test_questions_and_diversity_over_whole_tables(spark, tmp_path):
@@ -154,12 +153,12 @@ def test_questions_and_diversity_over_whole_tables(spark, tmp_path):
     spark.createDataFrame([(1, i, t) for i, t in enumerate(some)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     docs = [(1, "One text", "en", "s1"), (2, "one TEXT", "en", "s2"), (3, "another", "en", "s3"), (53, "a third", "en", "s1")]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    rows = {n: {r["turn"]: r for r in catalog.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("topic_detect_all", "topic_detect_enhanced_all", "age_scope_all", "query_understanding_all")}
+    rows = {n: {r["turn"]: r for r in catalog.QUERIES[n](spark, str(tmp_path)).where("conv_id = 1").collect()} for n in ("topic_detect", "topic_detect_enhanced", "age_scope", "query_understanding")}
     assert all(sorted(r) == list(range(len(some))) for r in rows.values())
-    assert topic in rows["topic_detect_all"][0]["topics"].split(",") and rows["topic_detect_all"][4]["topics"] == ""
-    assert topic in rows["topic_detect_enhanced_all"][0]["topics"].split(",") and rows["age_scope_all"][1]["age_scope"] == "school_age"
-    assert [rows["query_understanding_all"][i]["queries"] is None for i in range(len(some))] == [False, False, True, True, True, False]
-    assert [r["chunk_id"] for r in catalog.QUERIES["diversify_all"](spark, str(tmp_path)).orderBy("position").collect()] == [1, 3]
+    assert topic in rows["topic_detect"][0]["topics"].split(",") and rows["topic_detect"][4]["topics"] == ""
+    assert topic in rows["topic_detect_enhanced"][0]["topics"].split(",") and rows["age_scope"][1]["age_scope"] == "school_age"
+    assert [rows["query_understanding"][i]["queries"] is None for i in range(len(some))] == [False, False, True, True, True, False]
+    assert [r["chunk_id"] for r in catalog.QUERIES["diversify"](spark, str(tmp_path)).orderBy("position").collect()] == [1, 3]
 
 
 def test_rerank_fails_for_a_whole_question(spark):
