@@ -19,9 +19,12 @@ def _flag(name: str) -> bool:
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """Built from the environment by default; models are functions over pandas batches of strings.
+    """Built from the environment by default.
 
-    embedder: texts -> vectors. reranker: (queries, passages) -> scores. rewriter, generator: prompts -> texts.
+    embedder: texts -> vectors. reranker: (queries, passages) -> scores. rewriter, generator: Column functions of
+    (instructions, prompt), as `functions.models.text_model` makes them from a Python model; a rewriter made with
+    failed="" leaves a question on which it fails to the expansion. The model names, the device and the temperature are
+    for the caller who makes the models.
     """
 
     books_dir: str = field(default_factory=lambda: os.environ.get("RAG_BOOKS_DIR", "").strip())
@@ -48,6 +51,9 @@ class EngineConfig:
     final_k: int = field(default_factory=lambda: _whole("RAG_FINAL_K", 5, 1))
     enable_rewrite: bool = field(default_factory=lambda: _flag("RAG_ENABLE_LLM_REWRITE"))
     context_characters: int = 12000
+    weights_file: str = field(default_factory=lambda: os.environ.get("RAG_WEIGHTS_FILE", os.path.join("evaluation", "retrieval_weights.json")))
+    rewrite_instructions: str = field(default_factory=lambda: REWRITE_INSTRUCTIONS)
+    answer_instructions: str = field(default_factory=lambda: ANSWER_INSTRUCTIONS)
     embedder: Callable | None = None
     reranker: Callable | None = None
     rewriter: Callable | None = None
@@ -58,6 +64,18 @@ class EngineConfig:
             raise ValueError("chunk_overlap must be smaller than chunk_size")
 
 
+#: What the rewriter is told, in words of our own; EngineConfig takes others
+REWRITE_INSTRUCTIONS = """You turn a question, asked in Arabic or English, into one search query for textbooks on the nutrition of school children and adolescents.
+Give the query alone, in English, in 5 to 20 words of a clinical textbook; translate silently where needed.
+Keep the condition, the topic, the age group and what is wanted. Never answer, explain, apologise or ask anything back, and add no label, quote or list."""
+#: What the generator is told, in words of our own; EngineConfig takes others
+ANSWER_INSTRUCTIONS = """You answer questions on the nutrition of children from the numbered sources you are given, and from nothing else.
+Write in the response language of the input. The child's profile comes with it: use it where the sources bear on it, and never ask for it again.
+Put the matching [SOURCE N] after every factual claim. Make up no fact, amount, conversion, diagnosis, treatment or dose; where an amount is not in the sources, say that it varies with age and need.
+Say nothing of prompts, models or retrieval, and add no general disclaimer; warn only where the question itself calls for it.
+To an open question give a practical overview as a Markdown table with the columns Food group or nutrient, Why it matters, Practical food examples, Practical amount or note, with the rows that the sources support: protein foods, vegetables, fruit, grains and energy foods, dairy and other calcium-rich foods, healthy fats, water, minerals and vitamins.
+Measure in grams, kilograms, milliliters, liters, cups, tablespoons and teaspoons, never in ounces, fluid ounces or pounds.
+Answer what the sources support, if only a part. Only if they support nothing, return exactly NO_RELIABLE_CONTEXT."""
 #: Fixed values
 WEIGHTS = {"rerank": 0.62, "semantic": 0.25, "rrf": 0.08, "metadata": 0.05, "bm25": 0.0}
 QUERY_WEIGHTS = (1.0, 0.90, 0.78)

@@ -578,7 +578,7 @@ def retrieve_context(spark, d):
 @query()
 def answer_questions(spark, d):
     q = spark.createDataFrame([(f"q{i}", a) for i, a in enumerate(ASKED)], "query_id string, question string")
-    a = retrieval.answer_questions(q, _index(spark, d), EngineConfig(generator=lambda p: F.concat(F.lit("As the sources say [SOURCE 1]. "), F.substring(p, 16, 40))))
+    a = retrieval.answer_questions(q, _index(spark, d), EngineConfig(generator=lambda s, p: F.concat(F.lit("As the sources say [SOURCE 1]. "), F.substring(p, 16, 40))))
     return present.presented(a).select("query_id", "answer", "retrieved_count", "age_scope", "status", "direction", "label", "html")
 
 

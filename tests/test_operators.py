@@ -98,7 +98,7 @@ def test_top_k_is_cut_before_the_shuffle(spark):
 def test_queries_are_distinct_by_form(spark):
     asked = ["Iron  needs", "Café diets, teens", "calcium", "adolescents pediatric nutrition", "12 years: sports"]
     d = spark.createDataFrame([(i, a) for i, a in enumerate(asked)], "query_id int, question string")
-    rows = understand.understood(d, rewriter=lambda c: F.concat(F.lit("Iron needs of "), c)).collect()
+    rows = understand.understood(d, rewriter=lambda s, c: F.concat(F.lit("Iron needs of "), F.element_at(F.split(c, "\n\n"), -1))).collect()
     for r in rows:
         new = r["rewritten"]
         assert r["queries"] == X._distinct([x for x in (r["question"], r["expansion"], new) if x])
@@ -115,7 +115,7 @@ def test_answers_run_again_in_one_session(spark):
     idx = spark.createDataFrame(rows, "chunk_id string, text string, book_title string, source string, page_number int, chapter_title string, section_title string, part_title string, hierarchy_path string")
     idx = idx.withColumn("embedding", embed.encoder()(F.col("text")))
     q = spark.createDataFrame([("a", "iron and blood"), ("b", "calcium for bones")], "query_id string, question string")
-    config = EngineConfig(generator=lambda p: F.concat(F.lit("Yes [SOURCE 1]. "), F.substring(p, 1, 4)))
+    config = EngineConfig(generator=lambda s, p: F.concat(F.lit("Yes [SOURCE 1]. "), F.substring(p, 1, 4)))
     got = [sorted((r["query_id"], r["status"], r["retrieved_count"]) for r in retrieval.answer_questions(q, idx, config).collect()) for _ in range(2)]
     assert got[0] == got[1] == [("a", "success", 3), ("b", "success", 3)]
 
@@ -203,3 +203,86 @@ def test_terms_of_stored_postings_rank_as_before(spark):
     post = retrieve.stored_postings(idx, F.col("text"))
     one_, two = (retrieve.bm25(q, idx, 5, F.col("text"), p).orderBy("rank").collect() for p in (None, post))
     assert one_ == two and {r["chunk_id"] for r in two} == {"a", "c"}
+
+
+def test_models_are_told_asked_once_and_may_fail(spark):
+    from folio.functions.models import text_model
+
+    d = spark.createDataFrame([(1, "iron at school"), (2, "bad one")], "query_id int, question string")
+
+    def model(told, prompt):
+        if "bad" in prompt:
+            raise RuntimeError("no answer")
+        return f"{told} iron needs"
+
+    got = {r["query_id"]: r for r in understand.understood(d, rewriter=text_model(model, ""), instructions="be brief").collect()}
+    assert got[1]["rewritten"] == "be brief iron needs" and got[2]["rewritten"] == "" and len(got[2]["queries"]) == 2
+    p = spark.createDataFrame([(None,), ("x",)], "p string")
+    assert {r["r"] for r in p.select(text_model(lambda s, t: s + t)(F.lit("s"), F.col("p")).alias("r")).collect()} == {None, "sx"}
+
+
+def plain_pages(content):
+    return content.decode().split("\f")
+
+
+def made_books(tmp_path):
+    body = "Iron helps blood and growth in school children, and so do beans, lentils, meat and leafy greens. " * 3
+    for name, head in (("Pediatric Nutrition", "Chapter 19\n"), ("PNP 3rd Edition", "1.2 Growth and Feeding\n")):
+        (tmp_path / "books").mkdir(exist_ok=True)
+        (tmp_path / "books" / f"{name}.pdf").write_bytes("\f".join(f"{head}Page {w} of it. {body}" for w in ("one", "two", "three")).encode())
+
+
+def test_steps_over_a_folder_of_books(spark, tmp_path, capsys, monkeypatch):
+    from folio import __main__ as m
+
+    made_books(tmp_path)
+    monkeypatch.setenv("RAG_AAP_BODY_START_PAGE", "1")
+    monkeypatch.setenv("RAG_PNP_BODY_START_PAGE", "1")
+    common = ["--books", str(tmp_path / "books"), "--index", str(tmp_path / "index"), "--extractor", "tests.test_operators:plain_pages", "--env", str(tmp_path / "none")]
+    said = {}
+    for step in m.STEPS:
+        m.main([step, *common])
+        said[step] = capsys.readouterr().out
+    assert "pages: 6" in said["documents"] and "pages_out: 6" in said["preprocess"]
+    assert "Chapter 19: Iron" in said["chunks"] and "not_finite: 0" in said["embeddings"]
+    assert "position: 1" in said["context"] and "status: insufficient_context" in said["answer"]
+
+
+def test_ingest_builds_whole_books_once(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from folio.schemas import PAGE
+    from folio.sources import pages as P
+    from folio.streaming.ingest import ingest_pages
+
+    body = "Iron helps blood and growth in school children, and so do beans, lentils, meat and leafy greens. " * 3
+    config = EngineConfig(aap_body_start=1, pnp_body_start=1)
+
+    def deliver(book, numbers, head):
+        rows = [(book, book, "T", "s.pdf", "/s.pdf", "0", n - 1, n, str(n), "pdf", (head if n == 1 else "") + f"Leaf {'abcdefgh'[n]}. {body}") for n in numbers]
+        spark.createDataFrame(rows, T.StructType.fromDDL(PAGE)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        ingest_pages(spark, str(tmp_path / "in"), str(tmp_path / "index"), str(tmp_path / "check"), config).awaitTermination()
+        return sorted((r["book_id"], r["page_number"], r["chapter_title"]) for r in P.read_index(spark, str(tmp_path / "index")).collect())
+
+    deliver("aap8", [1, 2], "Chapter 19\n")
+    deliver("pnp3", [1], "1.2 Growth and Feeding\n")
+    assert run() == [("aap8", 1, "Chapter 19: Iron"), ("aap8", 2, "Chapter 19: Iron"), ("pnp3", 1, "1.2 Nutritional Assessment")]
+    deliver("aap8", [2, 3], "")  # page 2 comes again, page 3 later than its heading
+    assert [x[:2] for x in run()] == [("aap8", 1), ("aap8", 2), ("aap8", 3), ("pnp3", 1)] and {x[2] for x in run()[:3]} == {"Chapter 19: Iron"}
+
+
+def test_diversity_equals_a_plain_fold(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [("q%d" % (i % 3), str(r.randrange(60)), i, "t%d" % r.randrange(40), "b%d" % r.randrange(3), "h%d" % r.randrange(20)) for i in range(150)]
+    d = spark.createDataFrame(rows, "query_id string, chunk_id string, rank int, text string, book_title string, hierarchy_path string").withColumn("chapter_title", F.lit(""))
+    kept: dict = {}
+    for q, c, _, t, b, h in rows:
+        k = kept.setdefault(q, [])
+        if all(c != x[0] and t != x[1] and (b, h) != x[2] for x in k):
+            k.append((c, t, (b, h)))
+    got = rank.diversify(d).orderBy("query_id", "position").collect()
+    assert [(x["query_id"], x["chunk_id"]) for x in got] == [(q, x[0]) for q in sorted(kept) for x in kept[q]]
