@@ -117,12 +117,12 @@ def safe_html(spark, d):
     return load(spark, d, "documents").select("doc_id", X.safe_html("text").alias("html"))
 
 
-LINE_LIST = r"list_filter(list_transform((string_split(text, chr(10)))[1:12], lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')"
+LINE_LIST = r"list_filter(list_transform((string_split(text, chr(10)))[1:70], lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')"
 
 
 @query(f"select doc_id, len({LINE_LIST})::int as n, array_to_string({LINE_LIST}, '|') as head from documents")
 def page_lines(spark, d):
-    ls = X.page_lines("text", 12)
+    ls = X.page_lines("text")
     return load(spark, d, "documents").select("doc_id", F.size(ls).alias("n"), F.array_join(ls, "|").alias("head"))
 
 
@@ -565,9 +565,15 @@ def _index(spark, d):
 ASKED = ["calcium and bone mass", "sports nutrition of athletes", "growth charts and body mass index", "iron and anemia at 9 years", "What should be in a healthy diet", "school lunch and food safety"]
 
 
+def _questions(spark, d):
+    """ASKED, which name topics, and every benchmark item that isn't blank."""
+    made = spark.createDataFrame([(f"q{i}", a) for i, a in enumerate(ASKED)], "query_id string, question string")
+    items = load(spark, d, "benchmark").where(X.compact("text") != "").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("question"))
+    return made.unionByName(items)
+
+
 def _ranked(spark, d):
-    q = spark.createDataFrame([(f"q{i}", a) for i, a in enumerate(ASKED)], "query_id string, question string")
-    return retrieval.retrieve_context(q, _index(spark, d))
+    return retrieval.retrieve_context(_questions(spark, d), _index(spark, d))
 
 
 @query()
@@ -577,8 +583,7 @@ def retrieve_context(spark, d):
 
 @query()
 def answer_questions(spark, d):
-    q = spark.createDataFrame([(f"q{i}", a) for i, a in enumerate(ASKED)], "query_id string, question string")
-    a = retrieval.answer_questions(q, _index(spark, d), EngineConfig(generator=lambda s, p: F.concat(F.lit("As the sources say [SOURCE 1]. "), F.substring(p, 16, 40))))
+    a = retrieval.answer_questions(_questions(spark, d), _index(spark, d), EngineConfig(generator=lambda s, p: F.concat(F.lit("As the sources say [SOURCE 1]. "), F.substring(p, 16, 40))))
     return present.presented(a).select("query_id", "answer", "retrieved_count", "age_scope", "status", "direction", "label", "html")
 
 
