@@ -13,6 +13,8 @@ one run of all; no word, no set. Two documents link if |A & B| / |A | B| >= num/
    Each class searches the R-tree of the cell; a subtree is passed over if it lies in the query's own component, has
    no fitting sizes, or its summed coordinate minima with the query stay under the overlap that is needed.
    What links inside one component can't change the result, so no link between different components is lost.
+   Two classes with many cells in common are a pair in one of them, mostly: each carries its FIRST least keys of
+   cells, and a cell leaves a pair that has a lesser key in common to the cell of that key, which finds it too.
 4. Pairs that pass either are verified on the whole sets, read again for the documents concerned. The set of a class
    with many partners is sent once for each salted part of them.
 
@@ -47,6 +49,7 @@ BLOCK = 1024
 FAN = 16
 SLICE = 1 << 14
 SALTS = 64
+FIRST = 16
 SLOT_BITS = 23
 OPEN_BITS = 26
 SAMPLE, OFTEN = 32, 6
@@ -247,13 +250,37 @@ def group_pairs(rep: np.ndarray, points: np.ndarray, sizes: np.ndarray, num: int
     return np.concatenate(a or none), np.concatenate(b or none)
 
 
-def cell_pairs(rep: np.ndarray, points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, block: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a cell in different parts: within its block, or between its two blocks."""
+def padded(lists: pa.ChunkedArray) -> np.ndarray:
+    """Lists of at most FIRST keys as rows of one matrix, filled up with the greatest key."""
+    lists = pa.concat_arrays(lists.chunks)
+    out = np.full((len(lists), FIRST), np.iinfo(np.int64).max)
+    out[np.arange(FIRST) < lists.value_lengths().to_numpy()[:, None]] = lists.flatten().to_numpy()
+    return out
+
+
+def met_before(key: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether each row of x shares a key under `key` with that of y."""
+    out = np.zeros(len(x), bool)
+    for at in range(0, len(x), SLICE // FIRST):
+        p, q = x[at : at + SLICE // FIRST], y[at : at + SLICE // FIRST]
+        out[at : at + SLICE // FIRST] = ((p[:, :, None] == q[:, None, :]) & (p < key)[:, :, None]).any(axis=(1, 2))
+    return out
+
+
+def cell_pairs(
+    rep: np.ndarray, points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, block: np.ndarray, key: int, firsts: np.ndarray, num: int, den: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a cell in different parts: within its block, or between its two blocks; not those that the cell of a
+    lesser key finds by their firsts."""
     sides = np.unique(block)
     a = np.flatnonzero(block == sides[0])
     b = np.flatnonzero(block == sides[-1])
     q, e = CountRTree(points[b], sizes[b], parts[b]).search(points[a], sizes[a], parts[a], num, den)
-    x, y = rep[a[q]], rep[b[e]]
+    q, e = a[q], b[e]
+    if len(sides) == 1:  # each pair came up from both ends
+        q, e = q[rep[q] < rep[e]], e[rep[q] < rep[e]]
+    new = ~met_before(key, firsts[q], firsts[e])
+    x, y = rep[q[new]], rep[e[new]]
     both = np.stack([np.minimum(x, y), np.maximum(x, y)])
     both = np.unique(both[:, both[0] < both[1]], axis=1)
     return both[0], both[1]
@@ -413,7 +440,7 @@ def components_by_set(docs: DataFrame, n: int, num: int, den: int) -> tuple[Data
         return group_pairs(*columns(t), num, den)
 
     def in_prefix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return cell_pairs(*columns(t), *(t.column(c).to_numpy() for c in ("component", "own")), num, den)
+        return cell_pairs(*columns(t), *(t.column(c).to_numpy() for c in ("component", "own")), t.column("key")[0].as_py(), padded(t.column("firsts")), num, den)
 
     classes = F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x")
     counts = reps.select("rep", "counts")
@@ -427,13 +454,15 @@ def components_by_set(docs: DataFrame, n: int, num: int, den: int) -> tuple[Data
     lab = reps.join(first, reps["rep"] == first["node"], "left").select("rep", "size", "prefix", F.coalesce("component", "rep").alias("component"))
     keys = lab.select(F.explode("prefix").alias("key"), "rep", "component")
     keys = keys.groupBy("key").agg(*classes, F.min("component").alias("lo"), F.max("component").alias("hi"))
-    hit = in_cells(lab, "prefix", opened(keys.where("lo < hi"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    hit, _ = persist(in_cells(lab, "prefix", opened(keys.where("lo < hi"))), "in-cells")
+    firsts = hit.groupBy("rep", "size").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST).alias("firsts"))  # a class has as many keys as its prefix at most
+    hit = hit.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     hit = hit.select("key", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "rep", "component", "size")
     # a class that has a partner of fitting size in its cell has one beside it in order of size
     near = Window.partitionBy("key", "b1", "b2").orderBy("size")
     below, above = F.lag("size").over(near), F.lead("size").over(near)
     fits = (below * den >= F.col("size") * num) | (F.col("size") * den >= above * num)
-    hit = hit.withColumn("fits", fits).where("fits").drop("fits").join(counts, "rep")
+    hit = hit.withColumn("fits", fits).where("fits").drop("fits").join(firsts, ["rep", "size"]).join(counts, "rep")
     more = verified(cells(hit, in_prefix), docs, n, num, den)
 
     label = connected_components(links.unionByName(more))

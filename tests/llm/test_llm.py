@@ -211,6 +211,26 @@ def test_group_cells_give_about_one_pair_a_member():
     assert len(a) == 999 and set(a) == {5} and set(b) == set(range(6, 1005))
 
 
+@pytest.mark.parametrize("first", [16, 2])
+def test_classes_with_many_cells_in_common_are_one_pair(monkeypatch, first):
+    """The cells give each pair that shares a key, and mostly once."""
+    monkeypatch.setattr(ngram_join, "FIRST", first)
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-(1 << 62), 1 << 62, 40)
+    has = rng.random((50, 40)) < np.where(np.arange(50) < 40, 0.8, 0.05)[:, None]
+    rep = np.arange(50) * 2 + 1
+    points = np.full((50, ngram_join.GROUPS), 3, np.uint16)
+    firsts = ngram_join.padded(pa.chunked_array([[np.sort(keys[h])[:first].tolist() for h in has]], pa.list_(pa.int64())))
+    made = []
+    for k, members in zip(keys, has.T, strict=True):
+        at = np.flatnonzero(members)
+        if len(at):
+            a, b = ngram_join.cell_pairs(rep[at], points[at], points[at].sum(axis=1), rep[at], np.zeros(len(at)), int(k), firsts[at], 80, 100)
+            made += zip(a.tolist(), b.tolist(), strict=True)
+    wanted = {(int(rep[i]), int(rep[j])) for i in range(50) for j in range(i + 1, 50) if (has[i] & has[j]).any()}
+    assert set(made) == wanted and len(made) <= (1.01 if first == 16 else 15) * len(wanted)
+
+
 def test_keep_one_and_sanitise_with_clashing_names(spark):
     text = " ".join(f"w{i}" for i in range(40))
     names = "doc_id long, text string, __row long, __terms string, __maybe string, nth int, kept string, row int, maybe string, n_chars int"
