@@ -26,7 +26,7 @@ BROKEN_LINE = "(?<![.!?:;\\]])\\n(?=[a-z])"
 def edge_forms(text: Column) -> Column:
     """Distinct detection forms of a page's first and last EDGE non-blank lines (text: unicode-normalised)."""
     solid = F.filter(F.transform(X.lines(text), X.strip), lambda x: x != "")
-    return F.array_distinct(F.filter(F.transform(ends(solid), X.detection_line), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.array_distinct(ends(solid)), X.detection_line), lambda x: x != ""))
 
 
 def repeated_edge_lines(pages: DataFrame, min_pages: int = 12, ratio: float = 0.12, edges: str | None = None) -> DataFrame:
@@ -91,13 +91,18 @@ def preprocess(pages: DataFrame, least: int = 60, min_pages: int = 12, ratio: fl
     """Pages cleaned by their book's repeated lines; those of fewer than `least` characters go.
 
     A book has few repeated lines: at most one for each 0.12 of its pages' ten edge lines, 83. So a book's set is
-    one short array, joined by book_id. Pages are normalised once and kept in the shared folder, as both the repeated
-    lines and the cleaning read them.
+    one short array, joined by book_id. Pages are dealt by book and number, normalised once and kept in the shared
+    folder, as both the repeated lines and the cleaning read them.
     """
+    if "page_number" in pages.columns:  # else a file of one row group would be one task
+        pages = pages.repartition("book_id", "page_number")
     base = pages.withColumn("original_character_count", F.length(F.coalesce("text", F.lit("")))).withColumn("__t", X.normalize_unicode("text"))
     base = settled(base.withColumn("__f", edge_forms(F.col("__t"))))
     sets = repeated_edge_lines(base, min_pages, ratio, "__f").groupBy("book_id").agg(F.sort_array(F.collect_set("line")).alias("__rep"))
-    out = clean_text(base.join(sets, "book_id", "left"), "__rep", normalised="__t", edges="__f").drop("__rep", "__t", "__f").where(F.length("text") >= least)
+    out = clean_text(base.join(sets, "book_id", "left"), "__rep", normalised="__t", edges="__f").drop("__rep", "__t", "__f")
+    # a plain filter would be pushed below the cleaning, with a copy of all its steps in it for each mention of a column
+    long_enough = F.filter(F.array(F.struct(*out.columns)), lambda r: F.length(r["text"]) >= least)
+    out = out.select(F.inline(long_enough))
     return out.withColumns({"preprocessed": F.lit(True), "preprocessing_version": F.lit(VERSION), "clean_character_count": F.length("text")})
 
 

@@ -1,8 +1,12 @@
+import hashlib
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from folio.config import EngineConfig
 from folio.functions import text as X
-from folio.operators import answer, chunk, hierarchy, present, rank, retrieve, understand
+from folio.plans import catalog
+from folio.operators import answer, chunk, clean, embed, hierarchy, present, rank, retrieve, understand
 
 
 def one(spark, value, expr, name="text"):
@@ -286,3 +290,29 @@ def test_diversity_equals_a_plain_fold(spark):
             k.append((c, t, (b, h)))
     got = rank.diversify(d).orderBy("query_id", "position").collect()
     assert [(x["query_id"], x["chunk_id"]) for x in got] == [(q, x[0]) for q in sorted(kept) for x in kept[q]]
+
+
+def test_cleaning_is_worked_out_once(spark):
+    """The filter on the cleaned length doesn't hold a copy of the cleaning."""
+    rows = [("b", 1, "x" * 59), ("b", 2, "y" * 60), ("b", 3, None)]
+    got = clean.preprocess(spark.createDataFrame(rows, "book_id string, page_number int, text string"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Downloaded") == 1
+    assert [(r["page_number"], r["clean_character_count"]) for r in got.collect()] == [(2, 60)]
+
+
+def test_lines_and_edges_as_plain_ones(spark):
+    text = "\n".join(f" Line\t {i}  of\tthis " for i in range(90)) + "\n\u00a0\u200b"
+    assert one(spark, text, X.page_lines("text", 80)) == [f"Line {i} of this" for i in range(80)]
+    assert one(spark, "a\n", X.page_lines("text", 1)) == ["a"]
+    assert one(spark, text, clean.edge_forms(F.col("text"))) == ["line # of this", "\u200b"]
+
+
+def test_search_index_is_embedded_once(spark, tmp_path):
+    spark.createDataFrame([(1, "iron and zinc", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    index = catalog._index(spark, str(tmp_path))
+    assert "EvalPython" not in index._jdf.queryExecution().optimizedPlan().toString() and index.count() == 1
+    plain = np.zeros(embed.DIM)
+    for w in ("iron", "and", "zinc", "iron"):
+        h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+        plain[h % embed.DIM] += 1 if h >> 63 else -1
+    assert (embed.hash_embedder(["Iron and zinc iron"])[0] == plain).all() and embed.hash_embedder([""])[0][0] == 1
