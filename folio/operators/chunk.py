@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 
 from ..config import EngineConfig
 from ..functions import text as X
-from .hierarchy import REFERENCE, YEAR, attach_hierarchy
+from ..functions.store import settled
+from .hierarchy import REFERENCE, YEAR, attach_hierarchy, is_reference
 
 SEPARATORS = ("\n\n", "\n", ". ", "; ", ": ", ", ", " ", "")  # fixed values
 VERSION = "canonical_page_recursive_v10"  # fixed value
@@ -67,44 +68,51 @@ def splitter(size: int, overlap: int):
 
 def reference_like(text: str | Column) -> Column:
     """No line at all, or at least four citation and four year lines with a fifth of all lines citing."""
-    ls = X.page_lines(text, 80)
-    cites = F.size(F.filter(ls, lambda x: x.rlike(REFERENCE) | F.contains(F.lower(x), F.lit(" et al"))))
-    years = F.size(F.filter(ls, lambda x: x.rlike(YEAR)))
+    return X.let(X.solid(X.first_lines(text, 80)), _mostly_cites)
+
+
+def _mostly_cites(ls: Column) -> Column:
+    cites = F.size(F.filter(ls, lambda x: is_reference(x) | X.let(F.lower(x), lambda y: y.rlike(f"et{X.WS}+al") & F.contains(X.compact(y), F.lit(" et al")))))
+    years = F.size(F.filter(ls, lambda x: X.compact(x).rlike(YEAR)))
     n = F.size(ls)
     return (n == 0) | ((cites >= 4) & (years >= 4) & (cites * 5 >= n))
 
 
-def chunk_id(book: Column, page: Column, path: Column, index: Column, text: Column) -> Column:
-    """book_pPAGE_cINDEX_ and 18 hex digits over what tells the chunk apart."""
-    payload = F.concat_ws("|", book, page.cast("string"), path, index.cast("string"), F.substring(X.compact(text), 1, 700))
+def chunk_id(book: Column, page: Column, path: Column, index: Column, text: Column, compacted: bool = False) -> Column:
+    """book_pPAGE_cINDEX_ and 18 hex digits over what tells the chunk apart. compacted: text is already."""
+    payload = F.concat_ws("|", book, page.cast("string"), path, index.cast("string"), F.substring(text if compacted else X.compact(text), 1, 700))
     return F.concat(book, F.lit("_p"), page.cast("string"), F.lit("_c"), index.cast("string"), F.lit("_"), F.substring(F.sha2(payload, 256), 1, 18))
 
 
-def duplicate_key(book: Column, text: Column) -> Column:
-    return F.sha2(F.concat(book, F.lit("|"), F.lower(X.compact(text))), 256)
+def duplicate_key(book: Column, text: Column, compacted: bool = False) -> Column:
+    return F.sha2(F.concat(book, F.lit("|"), F.lower(text if compacted else X.compact(text))), 256)
 
 
-def first_of_duplicates(chunks: DataFrame) -> DataFrame:
+def first_of_duplicates(chunks: DataFrame, key: Column | None = None) -> DataFrame:
     """The first chunk of each text of a book, in page and chunk order.
 
     The key is a digest, so copies meet by hash of it; min over a struct sums up each task's rows before the shuffle.
+    Chunks are read twice, so they are kept in the shared folder. key: their duplicate_key, if known.
     """
-    keyed = chunks.withColumn("__k", duplicate_key(F.col("book_id"), F.col("text")))
+    keyed = settled(chunks.withColumn("__k", duplicate_key(F.col("book_id"), F.col("text")) if key is None else key))
     first = keyed.groupBy("__k").agg(F.min(F.struct("page_number", "chunk_index_on_page")).alias("m")).select("__k", "m.*")
     return keyed.join(first, ["__k", "page_number", "chunk_index_on_page"], "left_semi").drop("__k")
 
 
-def create_chunks(pages: DataFrame, config: EngineConfig | None = None) -> DataFrame:
-    """Chunks of the indexable pages: numbered before any filter; short, reference-like and repeated ones go."""
+def create_chunks(pages: DataFrame, config: EngineConfig | None = None, dealt: bool = False) -> DataFrame:
+    """Chunks of the indexable pages: numbered before any filter; short, reference-like and repeated ones go.
+    dealt: as for attach_hierarchy."""
     config = config or EngineConfig()
-    hier = attach_hierarchy(pages, config).where("indexable")
+    hier = attach_hierarchy(pages, config, dealt).where("indexable")
     pieces = hier.withColumn("__p", splitter(config.chunk_size, config.chunk_overlap)("text")).drop("text")
     cut = pieces.select(*[c for c in pieces.columns if c != "__p"], F.posexplode("__p").alias("chunk_index_on_page", "text"))
     cut = cut.withColumn("chunk_index_on_page", F.col("chunk_index_on_page") + 1)
-    good = cut.where((F.length(X.compact("text")) >= config.min_chunk_characters) & ~reference_like("text"))
-    out = first_of_duplicates(good).withColumn("chunk_size_characters", F.length("text")).withColumn("text", X.strip("text"))
-    ident = chunk_id(F.col("book_id"), F.col("page_number"), F.col("hierarchy_path"), F.col("chunk_index_on_page"), F.col("text"))
-    return out.withColumn("chunking_version", F.lit(VERSION)).withColumn("chunk_id", ident)
+    good = cut.where(~X.compact_under("text", config.min_chunk_characters) & ~reference_like("text"))
+    ident = lambda c: chunk_id(*[F.col(x) for x in ("book_id", "page_number", "hierarchy_path", "chunk_index_on_page")], c, compacted=True)
+    keys = X.let(X.compact("text"), lambda c: F.struct(duplicate_key(F.col("book_id"), c, compacted=True).alias("k"), ident(c).alias("id")))
+    out = first_of_duplicates(good.withColumn("__s", keys), F.col("__s.k")).withColumn("chunk_id", F.col("__s.id")).drop("__s")
+    out = out.withColumn("chunk_size_characters", F.length("text")).withColumn("text", X.strip("text"))
+    return out.select(*[c for c in out.columns if c != "chunk_id"], F.lit(VERSION).alias("chunking_version"), "chunk_id")
 
 
 def suspicious(chapter: str = "chapter_title", kind: str = "content_type") -> Column:

@@ -9,24 +9,24 @@ from ..functions import text as X
 from ..functions.store import settled
 
 EDGE = 5
+BOOKS = 10_000
 VERSION = "school_medical_safe_v5"  # fixed value
 
 #: Patterns of what is noise
 DOWNLOAD = "(?isu)Downloaded\\s+from\\s+https?://.*?(?:on\\s+\\d{1,2}\\s+[A-Za-z]+\\s+\\d{4}|by\\s+guest\\s+on\\s+\\d{1,2}\\s+[A-Za-z]+\\s+\\d{4})"
 LAYOUT_STAMP = "(?iuU)\\b\\S+\\.indd\\s+\\d+\\s+\\d{1,2}/\\d{1,2}/\\d{2,4}\\s+\\d{1,2}:\\d{2}\\s*(?:AM|PM)?"
-GLUED = ("(?U)(?<=\\d{4})(?=\\d{2,4}\\s+Chapter\\s+\\d+)", "(?U)(?<=\\d)(?=Section\\s+[IVXLC]+:)", "(?U)(?<=\\d)(?=Chapter\\s+\\d+)")
-BROKEN_WORD = "(?U)(?<=[A-Za-z])[-\\u2010\\u2011]\\s*\\n\\s*(?=[A-Za-z])"
+GLUED = (("Chapter", "(?U)(?<=\\d{4})(?=\\d{2,4}\\s+Chapter\\s+\\d+)"), ("Section", "(?U)(?<=\\d)(?=Section\\s+[IVXLC]+:)"), ("Chapter", "(?U)(?<=\\d)(?=Chapter\\s+\\d+)"))
+BROKEN_WORD = "(?U)[-\\u2010\\u2011](?<=[A-Za-z].)\\s*\\n\\s*(?=[A-Za-z])"
 NOISE = "[\\uFFFD\\u25A1\\u25A0\\u25C6]+"
 URL_LINE = "(?iuU)^\\s*(?:https?://|www\\.)\\S+\\s*\\z"
 PAGE_NUMBER = "(?iuU)^\\s*(?:page\\s*)?\\d+\\s*\\z"
 PAGE_NUMBER_FORM = "(?U)^\\s*(?:page\\s*)?#\\s*\\z"
-BROKEN_LINE = "(?<![.!?:;\\]])\\n(?=[a-z])"
+BROKEN_LINE = "\\n(?<![.!?:;\\]]\\n)(?=[a-z])"
 
 
 def edge_forms(text: Column) -> Column:
     """Distinct detection forms of a page's first and last EDGE non-blank lines (text: unicode-normalised)."""
-    solid = F.filter(F.transform(X.lines(text), X.strip), lambda x: x != "")
-    return F.array_distinct(F.filter(F.transform(F.array_distinct(ends(solid)), X.detection_line), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.array_distinct(ends(X.solid(X.lines(text)))), X.detection_line), lambda x: x != ""))
 
 
 def repeated_edge_lines(pages: DataFrame, min_pages: int = 12, ratio: float = 0.12, edges: str | None = None) -> DataFrame:
@@ -37,13 +37,14 @@ def repeated_edge_lines(pages: DataFrame, min_pages: int = 12, ratio: float = 0.
     forms = pages.select("book_id", F.col(edges).alias("e")) if edges else pages.select("book_id", X.normalize_unicode("text").alias("t")).select("book_id", edge_forms(F.col("t")).alias("e"))
     need = pages.groupBy("book_id").agg(F.greatest(F.lit(min_pages), F.bround(F.count("*") * F.lit(ratio)).cast("long")).alias("need"))
     seen = forms.select("book_id", F.explode("e").alias("line")).groupBy("book_id", "line").agg(F.count("*").alias("pages"))
-    return seen.join(need, "book_id").where((F.col("pages") >= F.col("need")) & (F.length("line") >= 4)).select("book_id", "line", "pages")
+    seen = seen.where((F.col("pages") >= min_pages) & (F.length("line") >= 4))  # few are left to meet by book
+    return seen.join(need, "book_id").where(F.col("pages") >= F.col("need")).select("book_id", "line", "pages")
 
 
 def without_artefacts(t: Column) -> Column:
-    t = F.regexp_replace(F.regexp_replace(t, DOWNLOAD, "\n"), LAYOUT_STAMP, "\n")
-    for p in GLUED:
-        t = F.regexp_replace(t, p, "\n")
+    t = X.replaced(X.replaced(t, "://", DOWNLOAD, "\n"), "/", LAYOUT_STAMP, "\n")
+    for mark, p in GLUED:
+        t = X.replaced(t, mark, p, "\n")
     return t
 
 
@@ -81,7 +82,7 @@ def clean_text(df: DataFrame, repeated: str, text: str = "text", normalised: str
     same = (F.col("__n") == F.col("__u")) & ~has_edges_to_go(F.col("__e2"), F.col(repeated))
     untouched = F.array_join(X.lines(F.col("__n")), "\n")
     df = df.withColumn("__c", F.when(~some, F.col("__n")).when(same, untouched).otherwise(without_repeated_edges(F.col("__n"), F.col(repeated))))
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace("__c", BROKEN_WORD, ""), NOISE, " "), "[ \\t]+", " ")
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace("__c", BROKEN_WORD, ""), NOISE, " "), "\\t[ \\t]*| [ \\t]+", " ")  # a single blank stays as it is
     kept = F.filter(F.transform(X.lines(t), X.strip), lambda x: (x == "") | ~x.rlike(URL_LINE))
     t = F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), BROKEN_LINE, " "), "\\n{3,}", "\n\n")
     return df.withColumn(text, X.strip(t)).drop("__u", "__e2", "__n", "__c")
@@ -91,15 +92,17 @@ def preprocess(pages: DataFrame, least: int = 60, min_pages: int = 12, ratio: fl
     """Pages cleaned by their book's repeated lines; those of fewer than `least` characters go.
 
     A book has few repeated lines: at most one for each 0.12 of its pages' ten edge lines, 83. So a book's set is
-    one short array, joined by book_id. Pages are dealt by book and number, normalised once and kept in the shared
-    folder, as both the repeated lines and the cleaning read them.
+    one short array, sent to each task, as a join by book_id would clean a book in one task; beyond BOOKS of them the
+    join is by book_id. Pages are dealt by book and number, normalised once and kept in the shared folder, as both the
+    repeated lines and the cleaning read them.
     """
     if "page_number" in pages.columns:  # else a file of one row group would be one task
         pages = pages.repartition("book_id", "page_number")
-    base = pages.withColumn("original_character_count", F.length(F.coalesce("text", F.lit("")))).withColumn("__t", X.normalize_unicode("text"))
-    base = settled(base.withColumn("__f", edge_forms(F.col("__t"))))
-    sets = repeated_edge_lines(base, min_pages, ratio, "__f").groupBy("book_id").agg(F.sort_array(F.collect_set("line")).alias("__rep"))
-    out = clean_text(base.join(sets, "book_id", "left"), "__rep", normalised="__t", edges="__f").drop("__rep", "__t", "__f")
+    base = pages.withColumn("original_character_count", F.length(F.coalesce("text", F.lit("")))).withColumn("text", X.normalize_unicode("text"))
+    base = settled(base.withColumn("__f", edge_forms(F.col("text"))))
+    sets = settled(repeated_edge_lines(base, min_pages, ratio, "__f").groupBy("book_id").agg(F.sort_array(F.collect_set("line")).alias("__rep")))
+    sets = F.broadcast(sets) if sets.count() <= BOOKS else sets
+    out = clean_text(base.join(sets, "book_id", "left"), "__rep", normalised="text", edges="__f").drop("__rep", "__f")
     # a plain filter would be pushed below the cleaning, with a copy of all its steps in it for each mention of a column
     long_enough = F.filter(F.array(F.struct(*out.columns)), lambda r: F.length(r["text"]) >= least)
     out = out.select(F.inline(long_enough))

@@ -25,6 +25,22 @@ INDEX_MARKS = ("subject index", "author index", "index of terms")
 NOT_TITLES = ("et al", "doi", "journal", "university", "published online", "references", "table ", "figure ", "fig ")
 
 
+def starts_with_digit(line: Column) -> Column:
+    return line.rlike(f"^{X.WS}*\\p{{Nd}}")
+
+
+def is_reference(line: Column) -> Column:
+    """Whether a raw line, compacted, is a REFERENCE; only lines that begin with a digit are compacted for it."""
+    return starts_with_digit(line) & X.compact(line).rlike(REFERENCE)
+
+
+def heading_lines(lines: Column, most: int) -> Column:
+    """The lines of `lines`' first `most` that aren't blank, compacted; a hyphen for one that can't be a heading, as it
+    neither begins with a digit nor names a chapter or section."""
+    low = lambda x: any_of(F.lower(x), ("chapter", "section"))
+    return F.transform(X.solid(F.slice(lines, 1, most)), lambda x: F.when(starts_with_digit(x) | low(x), X.compact(x)).otherwise("-"))
+
+
 def any_of(c: Column, parts) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(p)) for p in parts])
 
@@ -38,16 +54,20 @@ def book_layout(book_id: str | Column = "book_id") -> Column:
     return F.when(b == "aap8", "aap_chapter").when(b == "pnp3", "pnp_numbered").otherwise("unknown")
 
 
-def page_class(config: EngineConfig, book_id: str = "book_id", page: str = "page_number", text: str = "text") -> Column:
-    """front_matter, index, references, low_text or body: the first that holds."""
+def page_class(config: EngineConfig, book_id: str = "book_id", page: str = "page_number", text: str = "text", lines: str | None = None) -> Column:
+    """front_matter, index, references, low_text or body: the first that holds. lines: a column of the text's first 80
+    raw lines, if known."""
+    return X.let(F.col(lines) if lines else X.first_lines(text, 80), lambda ls: _page_class(ls, config, book_id, page, text))
+
+
+def _page_class(lines: Column, config: EngineConfig, book_id: str, page: str, text: str) -> Column:
     b, n = F.col(book_id), F.coalesce(F.col(page), F.lit(0))
-    head = F.lower(F.array_join(X.page_lines(text, 12), " "))
-    refs = F.size(F.filter(X.page_lines(text, 80), lambda x: x.rlike(REFERENCE) & x.rlike(YEAR)))
+    refs = F.size(F.filter(lines, lambda x: is_reference(x) & X.compact(x).rlike(YEAR)))
     front = ((b == "aap8") & (n < config.aap_body_start)) | ((b == "pnp3") & (n < config.pnp_body_start))
-    return (
-        F.when(front, "front_matter").when(any_of(head, INDEX_MARKS), "index").when(head.startswith("references") | (refs >= 5), "references")
-        .when(F.length(X.compact(text)) < 60, "low_text").otherwise("body")
-    )
+    rest = F.when(X.compact_under(text, 60), "low_text").otherwise("body")
+    marked = lambda raw: F.contains(raw, F.lit("index")) & any_of(X.compact(raw), INDEX_MARKS)
+    by_head = lambda raw: F.when(marked(raw), "index").when(X.strip(raw).startswith("references") | (refs >= 5), "references").otherwise(rest)
+    return F.when(front, "front_matter").otherwise(X.let(F.lower(F.array_join(F.slice(lines, 1, 12), " ")), by_head))
 
 
 def chapter_label(number: Column) -> Column:
@@ -130,16 +150,17 @@ def carried(found: DataFrame) -> DataFrame:
     return d.select("book_id", "page_number", *[F.coalesce(f, f"__in_{f}", F.lit("")).alias(f) for f in FIELDS])
 
 
-def attach_hierarchy(pages: DataFrame, config: EngineConfig | None = None) -> DataFrame:
+def attach_hierarchy(pages: DataFrame, config: EngineConfig | None = None, dealt: bool = False) -> DataFrame:
     """Each of four fields carries forward on its own over a book's body pages; other pages neither read nor write it.
 
     Texts are dealt by book and page, so their patterns run in as many tasks as there are partitions; only the
     headings found go through the windows (`carried`) and come back by book and page. Pages of one book and number
-    share their headings, of each field the greatest.
+    share their headings, of each field the greatest. dealt: the pages are already, as `preprocess` leaves them.
     """
     config = config or EngineConfig()
-    d = pages.repartition("book_id", "page_number")
-    d = d.withColumn("book_layout", book_layout()).withColumn("content_type", page_class(config)).withColumn("__l", X.page_lines("text", 55))
+    d = pages if dealt else pages.repartition("book_id", "page_number")
+    d = d.withColumn("book_layout", book_layout()).withColumn("__l", X.first_lines("text", 80))
+    d = d.withColumn("content_type", page_class(config, lines="__l")).withColumn("__l", heading_lines(F.col("__l"), 55))
     body = F.col("content_type") == "body"
     none = F.lit(None).cast(FOUND)
     found = F.when(body & (F.col("book_layout") == "aap_chapter"), chapter_headings("__l")).when(body & (F.col("book_layout") == "pnp_numbered"), numbered_headings("__l")).otherwise(none)

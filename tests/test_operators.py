@@ -316,3 +316,33 @@ def test_search_index_is_embedded_once(spark, tmp_path):
         h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
         plain[h % embed.DIM] += 1 if h >> 63 else -1
     assert (embed.hash_embedder(["Iron and zinc iron"])[0] == plain).all() and embed.hash_embedder([""])[0][0] == 1
+
+
+def test_chunks_of_one_book_are_not_of_one_task_and_cut_once(spark):
+    """Repeated lines go to each task, not pages to their book's; the kept chunks aren't cut again for their first ones."""
+    rows = [("aap8", n, "Chapter 19\n" * (n == 1) + f"Leaf {'abcdefghijklmnop'[n - 1]} of many. " + "Iron helps blood and growth. " * 9) for n in range(1, 16)]
+    cleaned = clean.preprocess(spark.createDataFrame(rows, "book_id string, page_number int, text string"))
+    assert "strategy=broadcast" in cleaned._jdf.queryExecution().optimizedPlan().toString()
+    got = chunk.create_chunks(cleaned, EngineConfig(aap_body_start=1))
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    kept = [(r["page_number"], r["chapter_title"].split(":")[0], r["chunk_id"]) for r in got.collect()]
+    assert sorted(k[0] for k in kept) == list(range(1, 16)) and {k[1] for k in kept} == {"Chapter 19"}
+    again = got.select(chunk.chunk_id(*[F.col(c) for c in ("book_id", "page_number", "hierarchy_path", "chunk_index_on_page", "text")]).alias("i")).collect()
+    assert sorted(r["i"] for r in again) == sorted(k[2] for k in kept)
+
+
+def test_texts_left_alone_are_those_that_do_not_match(spark):
+    blank = "\t\x1c\x85\u00a0\u2003\u2028\u3000 "
+    assert one(spark, f"{blank}a{blank}b{blank}", X.strip("text")) == f"a{blank}b" and one(spark, blank, X.strip("text")) == ""
+    assert [one(spark, "a" + " " * 40 + "b" * k, X.compact_under("text", 10)) for k in (7, 8)] == [True, False]
+    assert one(spark, "a\r\nb\n\u2028c\r", X.lines("text")) == one(spark, "a\nb\n\u2028c\n", X.lines("text")) == ["a", "b", "", "c"]
+    for raw, clean_ in (("123412 Chapter 5", "1234\n12 Chapter 5"), ("7Section II: x", "7\nSection II: x"), ("a DOWNLOADED from https://x.org/y by guest on 1 May 2020 b", "a \n b"), ("a b.\u0130NDD 3 1/2/2020 10:30 AM b", "a \n b")):
+        assert one(spark, raw, clean.without_artefacts(F.col("text"))) == clean_, raw
+    assert one(spark, "cup-\n board -\n x 3-\ny", F.regexp_replace("text", clean.BROKEN_WORD, "")) == "cupboard -\n x 3-\ny"
+    assert one(spark, "\na\nb.\nc\nD", F.regexp_replace("text", clean.BROKEN_LINE, " ")) == " a b.\nc\nD"
+    cites = "\n".join(f"{i}.\u2003 Smith\t A, 200{i}" for i in range(3))
+    for last, told in (("Who et \t al 2001", True), ("et al 2001", False)):
+        assert one(spark, f"{cites}\n {last}", chunk.reference_like("text")) is told
+    for head, kind in (("Author \t INDEX", "index"), ("Subject\n\n index", "index"), ("\n \u3000References", "references"), ("Index", "body")):
+        d = spark.createDataFrame([("b", 1, f"{head}\n{'x' * 60}")], "book_id string, page_number int, text string")
+        assert d.select(hierarchy.page_class(EngineConfig())).first()[0] == kind, head
